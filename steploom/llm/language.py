@@ -31,9 +31,10 @@ def language_scores(text: Column) -> Column:
     """Evidence for each of LANGUAGES: function words, or a quarter of the letters of its script."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
     scores = [_listed(words, listed) for listed in WORDS.values()]
+    foreign = text.rlike("[" + "".join(s.strip("[]") for s in SCRIPTS.values()) + "]")
     for script in SCRIPTS.values():
         letters = F.length(F.regexp_replace(text, rf"(?:(?!{script})[\s\S])+", ""))
-        scores.append(F.floor(letters / 4).cast("int"))
+        scores.append(F.when(foreign, F.floor(letters / 4)).otherwise(0).cast("int"))
     return F.array(*scores)
 
 

@@ -98,4 +98,7 @@ def broken_sides(df: DataFrame, record: str, prompt: str, sides: list[str]) -> D
     )
     long = long.select(record, F.col("__s.side").alias("side"), "__prompt", F.col("__s.answer").alias("__answer"))
     typed = with_defects(long, "__prompt", "__answer", "defects")
-    return typed.where(F.size("defects") > 0).select(record, "side", only_defect(F.col("defects")).alias("defect"), "defects")
+    # a generator and no filter: a filter on the result would be pushed below the steps and repeat them all
+    one = F.struct(only_defect(F.col("defects")).alias("defect"), "defects")
+    broken = typed.select(record, "side", F.explode(F.filter(F.array(one), lambda x: F.size(x["defects"]) > 0)).alias("__d"))
+    return broken.select(record, "side", "__d.defect", "__d.defects")
