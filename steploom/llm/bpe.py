@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,7 +286,7 @@ def _mapped(df: DataFrame, text: str, keep: list[str], out: str, kind: T.DataTyp
         encoder = Encoder(merges)
         for batch in batches:
             # bounds a block by its text, so that long texts don't add up
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(len(keep))), 0))
             block = np.cumsum(sizes) // (8 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows] if batch.num_rows else []
             for a, b in zip(cuts, cuts[1:], strict=False):
