@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_topn", "q_truncation", "q_consensus", "q_pairs", "q_splitting", "q_bpe", "q_mixing", "q_spans")
+MODULES = ("q_topn", "q_truncation", "q_overlap", "q_consensus", "q_pairs", "q_splitting", "q_bpe", "q_mixing", "q_spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
