@@ -1,15 +1,24 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries, gathered from their modules."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("q_text",)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {}
+    for name in MODULES:
+        found |= import_module(f"steploom.plans.{name}").QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {}
+    for name in MODULES:
+        found |= import_module(f"steploom.plans.{name}").SQL
+    return found
