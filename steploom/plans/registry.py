@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_text",)
+MODULES = ("q_text", "q_labels")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
