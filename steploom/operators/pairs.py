@@ -28,7 +28,7 @@ def attempt_pairs(rows: DataFrame, strategy: str) -> DataFrame:
     if strategy == "best_vs_worst":
         wrong = wrong.where("rejected_place = 1")
     pairs = right.join(wrong, "question_id")
-    return pairs.select("question_id", "chosen", "rejected", F.round(F.col("chosen_score") - F.col("rejected_score"), 6).alias("margin"))
+    return pairs.select("question_id", "chosen", "rejected", (F.round(F.col("chosen_score") - F.col("rejected_score"), 6) + 0.0).alias("margin"))
 
 
 def margin_summary(rows: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def margin_summary(rows: DataFrame) -> DataFrame:
         F.count_if(right).alias("nc"), F.count_if(wrong).alias("nr"), F.sum(F.when(right, F.col("critic_min"))).alias("sc"), F.sum(F.when(wrong, F.col("critic_min"))).alias("sr")
     ).where("nc > 0 and nr > 0")
     mean = F.col("sc") / F.col("nc") - F.col("sr") / F.col("nr")
-    return s.select("question_id", (F.col("nc") * F.col("nr")).alias("n_pairs"), F.round(mean, 10).alias("mean_margin"))
+    return s.select("question_id", (F.col("nc") * F.col("nr")).alias("n_pairs"), (F.round(mean, 10) + 0.0).alias("mean_margin"))
 
 
 def combined_reward(f1: Column, critic: Column, alpha: float) -> Column:

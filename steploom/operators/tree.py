@@ -63,7 +63,7 @@ def select_children(nodes: DataFrame, c: float = 1.414) -> DataFrame:
     """(question_id, parent_id, id, ucb): the child each parent would descend to, the first of equals."""
     parents = nodes.select("question_id", F.col("id").alias("parent_id"), F.col("visit_count").alias("parent_visits"))
     children = nodes.where("parent_id is not null").join(parents, ["question_id", "parent_id"])
-    scored = children.withColumn("ucb", F.round(ucb(F.col("total_value"), F.col("visit_count"), F.col("parent_visits"), c), 6))
+    scored = children.withColumn("ucb", F.round(ucb(F.col("total_value"), F.col("visit_count"), F.col("parent_visits"), c), 9))
     best = F.max(F.struct("ucb", (-F.col("id")).alias("first")))
     return scored.groupBy("question_id", "parent_id").agg(best.alias("b")).select("question_id", "parent_id", (-F.col("b.first")).alias("id"), F.col("b.ucb").alias("ucb"))
 
@@ -85,7 +85,7 @@ def propagate_rewards(nodes: DataFrame, beta: float = 0.9, max_depth: int = MAX_
         if max_depth - level > 4:
             below = store(below, "tree-level")
         done = done.unionByName(below)
-    return done.select("question_id", "id", "depth", F.round("reward", 6).alias("reward"))
+    return done.select("question_id", "id", "depth", F.round("reward", 9).alias("reward"))
 
 
 def tree_statistics(nodes: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def _pairs(strategy: str):
 
 def _pairs_sql(worst: bool) -> str:
     return f"""with {V}, c as (select *, row_number() over (partition by question_id order by score desc, ord) as r from votes where is_correct), w as (select *, row_number() over (partition by question_id order by score, ord) as r from votes where not is_correct)
-select c.question_id, c.trajectory_id as chosen, w.trajectory_id as rejected, round(c.score - w.score, 6) as margin from c join w on c.question_id = w.question_id where c.r = 1 {'and w.r = 1' if worst else ''}"""
+select c.question_id, c.trajectory_id as chosen, w.trajectory_id as rejected, round(c.score - w.score, 6) + 0.0 as margin from c join w on c.question_id = w.question_id where c.r = 1 {'and w.r = 1' if worst else ''}"""
 
 
 def dpo_all_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +279,7 @@ def dpo_all_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.margin_summary(_attempts(spark, sf_dir))
 
 
-_MARGIN_SQL = f"""with {V} select question_id, nc * nr as n_pairs, round(sc / nc - sr / nr, 10) as mean_margin from (
+_MARGIN_SQL = f"""with {V} select question_id, nc * nr as n_pairs, round(sc / nc - sr / nr, 10) + 0.0 as mean_margin from (
 select question_id, count(*) filter (where is_correct) as nc, count(*) filter (where not is_correct) as nr, sum(score) filter (where is_correct) as sc, sum(score) filter (where not is_correct) as sr from votes group by question_id) where nc > 0 and nr > 0"""
 
 

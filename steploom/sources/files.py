@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from steploom.functions.text import truncate_marked
 from steploom.sources import schemas
 
 
-def read_json_rows(spark: SparkSession, path: str | list[str], schema: T.StructType, layout: str = "jsonl", limit: int | None = None, tolerant: bool = False) -> DataFrame:
+def read_json_rows(spark: SparkSession, path: str | list[str], schema: str, layout: str = "jsonl", limit: int | None = None, tolerant: bool = False) -> DataFrame:
     """Rows of JSON lines, or of JSON arrays (``layout`` json). Tolerant reading drops broken lines."""
     if layout not in ("jsonl", "json"):
         raise ValueError(f"unknown layout {layout}")
@@ -63,7 +62,7 @@ def read_experiment(spark: SparkSession, path: str) -> DataFrame:
 
 def processed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids that an earlier run has written; broken lines are passed over."""
-    rows = read_json_rows(spark, path, T.StructType.fromDDL("trajectory_id string, question_id string"), tolerant=True)
+    rows = read_json_rows(spark, path, "trajectory_id string, question_id string", tolerant=True)
     return rows.select(F.coalesce("trajectory_id", "question_id").alias("trajectory_id")).where("trajectory_id is not null").distinct()
 
 

@@ -4,26 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
 
 MESSAGE = "struct<role:string,content:string>"
 STEP = "struct<step_id:int,step_type:string,think:string,search:string,answer:string,documents:string>"
-QUESTION = _ddl("id string, _id string, question string, answer string, gold_answer string, context array<array<string>>, supporting_facts array<string>")
-CORPUS = _ddl("id string, _id string, title string, wikipedia_title string, text string, contents string")
-TRAJECTORY = _ddl(f"trajectory_id string, question_id string, question string, gold_answer string, final_answer string, predicted_answer string, is_correct boolean, supporting_facts array<string>, metadata map<string,string>, steps array<{STEP}>")
+QUESTION = "id string, _id string, question string, answer string, gold_answer string, context array<array<string>>, supporting_facts array<string>"
+CORPUS = "id string, _id string, title string, wikipedia_title string, text string, contents string"
+TRAJECTORY = f"trajectory_id string, question_id string, question string, gold_answer string, final_answer string, predicted_answer string, is_correct boolean, supporting_facts array<string>, metadata map<string,string>, steps array<{STEP}>"
 SCHEMA_STEP = "struct<step_id:int,action_type:string,action:string,observation:string,passages:array<string>,metadata:map<string,string>>"
-RPE_LABEL = _ddl("step_id int, mc_s_t double, mc_s_t_a_t double, rpe double, label string, confidence double")
-JUDGE_LABEL = _ddl("step_id int, label string, reasoning string, confidence double")
-CONSENSUS_LABEL = _ddl("step_id int, rpe_label string, judge_label string, consensus_label int, is_consensus boolean, confidence double, filtered_reason string")
-SCORED = _ddl("trajectory_id string, question string, gold_answer string, predicted_answer string, is_correct boolean, critic_min double, critic_step_scores array<double>, critic_step_labels array<int>")
-NODE = _ddl("question_id string, question string, gold_answer string, id int, parent_id int, children_ids array<int>, depth int, think string, search_query string, answer_text string, documents string, is_terminal boolean, visit_count int, total_value double, f1_reward double, critic_score int, critic_feedback string")
-PAIR = _ddl(f"prompt array<{MESSAGE}>, chosen array<{MESSAGE}>, rejected array<{MESSAGE}>, question_id string, step_level int, source string, chosen_f1 double, rejected_f1 double, chosen_combined double, rejected_combined double, chosen_critic int, rejected_critic int, chosen_action_type string, rejected_action_type string")
-EXPERIMENT = _ddl("name string, checkpoints array<struct<name:string,num_samples:int,difficulty_distribution:map<string,int>,status:string,final_loss:double,eval_results:map<string,double>>>")
+RPE_LABEL = "step_id int, mc_s_t double, mc_s_t_a_t double, rpe double, label string, confidence double"
+JUDGE_LABEL = "step_id int, label string, reasoning string, confidence double"
+CONSENSUS_LABEL = "step_id int, rpe_label string, judge_label string, consensus_label int, is_consensus boolean, confidence double, filtered_reason string"
+SCORED = "trajectory_id string, question string, gold_answer string, predicted_answer string, is_correct boolean, critic_min double, critic_step_scores array<double>, critic_step_labels array<int>"
+NODE = "question_id string, question string, gold_answer string, id int, parent_id int, children_ids array<int>, depth int, think string, search_query string, answer_text string, documents string, is_terminal boolean, visit_count int, total_value double, f1_reward double, critic_score int, critic_feedback string"
+PAIR = f"prompt array<{MESSAGE}>, chosen array<{MESSAGE}>, rejected array<{MESSAGE}>, question_id string, step_level int, source string, chosen_f1 double, rejected_f1 double, chosen_combined double, rejected_combined double, chosen_critic int, rejected_critic int, chosen_action_type string, rejected_action_type string"
+EXPERIMENT = "name string, checkpoints array<struct<name:string,num_samples:int,difficulty_distribution:map<string,int>,status:string,final_loss:double,eval_results:map<string,double>>>"
 
 ACTIONS = ("retrieve", "reason", "answer")
 LABELS = ("GOOD", "BAD")
