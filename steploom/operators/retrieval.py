@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steploom.functions.text import words
+from steploom.plans.storage import store
 
 # The usual constants of Okapi BM25 with a floor for negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -42,7 +43,9 @@ class Bm25Index:
         """From one pass over the corpus for postings and one over the postings for statistics."""
         split = corpus.select(F.col(doc).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
         n, mean = split.agg(F.count("*"), F.avg(F.size("t"))).first()
-        postings = split.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
+        # stored once, for the statistics and for every search
+        postings = split.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "doc_id").agg(F.any_value("length").alias("length"), F.count("*").alias("tf"))
+        postings = store(postings, "postings")
         df = postings.groupBy("token").agg(F.count("*").alias("df"))
         raw = df.select("token", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON

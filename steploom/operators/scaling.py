@@ -58,8 +58,9 @@ def usable_checkpoints(checkpoints: DataFrame) -> DataFrame:
 
 
 def compare_checkpoints(points: DataFrame, key: str, size: str, value: str) -> DataFrame:
-    """First against last checkpoint by size: values and improvement in percent (infinite from 0)."""
-    first, last = F.min_by(value, size), F.max_by(value, size)
+    """First against last checkpoint by size (of equals by value): values and improvement in percent (infinite from 0)."""
+    order = F.struct(size, value)
+    first, last = F.min_by(value, order), F.max_by(value, order)
     s = points.groupBy(key).agg(first.alias("first_value"), last.alias("last_value"), F.min(size).alias("first_size"), F.max(size).alias("last_size"))
     gain = F.when(F.col("first_value") == 0, float("inf")).otherwise(100 * (F.col("last_value") - F.col("first_value")) / F.abs("first_value"))
     return s.select(key, "first_size", "last_size", F.round("first_value", 6).alias("first_value"), F.round("last_value", 6).alias("last_value"), F.round(gain, 6).alias("improvement_pct"))

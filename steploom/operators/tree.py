@@ -108,7 +108,7 @@ def regeneration_targets(nodes: DataFrame, pairs: DataFrame, max_pairs: int = 2,
     counts = pairs.groupBy("question_id").agg(F.count("*").alias("n_pairs"))
     state = nodes.groupBy("question_id").agg(F.max(F.coalesce("f1", F.lit(0.0))).alias("top"), F.count_if(F.col("feedback").isNotNull()).alias("heard"))
     chosen = state.join(counts, "question_id", "left").where((F.coalesce("n_pairs", F.lit(0)) <= max_pairs) & (F.col("top") <= 0) & (F.col("heard") > 0)).select("question_id")
-    own = nodes.join(chosen, "question_id", "left_semi")
+    own = store(nodes.join(chosen, "question_id", "left_semi"), "failed-trees")
     leaves = own.where("is_terminal").select("question_id", "id")
     up = ancestors(own, max_depth).join(leaves, ["question_id", "id"], "left_semi")
     facts = own.select("question_id", F.col("id").alias("ancestor"), F.col("depth"), F.coalesce("critic", F.lit(0)).alias("score"), F.col("critic"), F.col("feedback"))

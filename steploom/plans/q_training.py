@@ -111,8 +111,8 @@ def checkpoint_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaling.compare_checkpoints(_points(spark, sf_dir), "o_orderpriority", "size", "metric")
 
 
-_COMPARE_SQL = f"""with {_POINTS} select o_orderpriority, min(size) as first_size, max(size) as last_size, round(arg_min(metric, size), 6) as first_value, round(arg_max(metric, size), 6) as last_value,
-round(100 * (arg_max(metric, size) - arg_min(metric, size)) / abs(arg_min(metric, size)), 6) as improvement_pct from points group by 1"""
+_COMPARE_SQL = f"""with {_POINTS} select o_orderpriority, min(size) as first_size, max(size) as last_size, round(arg_min(metric, row(size, metric)), 6) as first_value, round(arg_max(metric, row(size, metric)), 6) as last_value,
+round(100 * (arg_max(metric, row(size, metric)) - arg_min(metric, row(size, metric))) / abs(arg_min(metric, row(size, metric))), 6) as improvement_pct from points group by 1"""
 
 
 def resume_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
