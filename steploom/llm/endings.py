@@ -21,9 +21,18 @@ def count_of(text: Column, literal: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))) / len(literal))
 
 
+TAIL = 48  # what is asked of a text's last characters needs no more of them
+
+
+def tail_of(text: Column) -> Column:
+    """The last TAIL characters, white space behind them cut off."""
+    return F.right(F.rtrim(text), F.lit(TAIL))
+
+
 def unclosed(text: Column) -> Column:
     """A tag that is opened and not closed, or broken off within its brackets."""
-    broken = text.rlike(r"<[/A-Za-z]*$") | text.rlike(r"\[/[A-Z]*$")
+    tail = F.right(text, F.lit(TAIL))
+    broken = tail.rlike(r"<[/A-Za-z]*$|\[/[A-Z]*$")
     for tag in TAGS:
         left, right = "<>" if tag.islower() else "[]"
         broken = broken | (count_of(text, f"{left}{tag}{right}") > count_of(text, f"{left}/{tag}{right}"))
@@ -37,7 +46,7 @@ def open_quote(text: Column) -> Column:
 
 def stops_short(text: Column) -> Column:
     """The last words are in no tag, and no sentence end, bracket or quote closes them."""
-    tail = F.rtrim(text)
+    tail = tail_of(text)
     closed = tail.rlike(r"[.!?…。！？]['\"”»)\]]*$|[>\]}]$|[.!?…]\s*[)\"”»]$")
     abbreviation = F.lower(tail).rlike(r"(?:^|[\s(])" + ABBREVIATIONS + r"\.$")
     return ~closed | abbreviation
