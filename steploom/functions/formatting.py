@@ -100,3 +100,29 @@ def correction_prompt(question: Column, steps: Column, bad_index: Column, reason
 def scorer_text(question: Column, steps: Column, separator: str) -> Column:
     """Question and step texts with a separator behind every step, for a step scorer."""
     return F.concat(question, F.lit("\n"), F.array_join(F.transform(steps, lambda s: F.concat(s, F.lit(separator))), ""))
+
+
+def judge_prompt(question: Column, gold: Column, steps: Column) -> Column:
+    """A whole trajectory to be judged step by step, the answer asked for as JSON."""
+    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat(F.lit("## Step "), (i + 1).cast("string"), F.lit("\n"), s)), "\n\n")
+    ask = F.lit('Judge every step. Answer with a JSON array of {"step": n, "label": "GOOD" or "BAD", "reasoning": "..."}.')
+    return F.concat_ws("\n\n", F.concat(F.lit("# Question\n"), question), F.concat(F.lit("# Gold answer\n"), F.coalesce(gold, F.lit(""))), F.concat(F.lit("# Steps\n"), numbered), ask)
+
+
+def feedback_prompt(question: Column, prefix: Column, feedback: Column, limit: int = 500) -> Column:
+    """The steps that were right, and what was said about the one that failed."""
+    return F.concat_ws("\n", F.concat(F.lit("Question: "), question), F.array_join(prefix, "\n"), F.concat(F.lit("A critic said: "), F.substring(F.coalesce(feedback, F.lit("")), 1, limit)), F.lit("Write a better next step."))
+
+
+def response_template(chat: Column, marker: str = "assistant", width: int = 100, fallback: int = 30) -> Column:
+    """What a chat template writes before the assistant's turn: up to the last marker, at most ``width``."""
+    at = F.length(chat) - F.instr(F.reverse(chat), marker[::-1]) + 1
+    found = F.instr(chat, marker) > 0
+    known = F.substring(chat, 1, F.when(found, at).otherwise(0))
+    return F.when(found, F.right(known, F.lit(width))).otherwise(F.right(chat, F.lit(fallback)))
+
+
+def percent_report(rows: dict[str, Column], total: Column) -> Column:
+    """Counts and their percentages as lines of text."""
+    lines = [F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(" ("), F.format_string("%.1f", 100 * F.coalesce(F.try_divide(value, total), F.lit(0.0))), F.lit("%)")) for name, value in rows.items()]
+    return F.concat_ws("\n", *lines)

@@ -100,3 +100,46 @@ def corpus_from_contexts(questions: DataFrame) -> DataFrame:
     first = rows.groupBy(key.alias("k")).agg(F.min(F.struct("question_id", "pos", "title", "text")).alias("f"))
     flat = first.select("f.*")
     return with_ordinal(flat, "question_id", "pos").select(F.concat(F.lit("doc_"), F.col("ord").cast("string")).alias("doc_id"), "title", "text")
+
+
+def write_checkpoint(nodes: DataFrame, path: str, rollout: int) -> None:
+    """Tree nodes with a meta row; the meta file comes last, so a checkpoint with it is whole."""
+    nodes.write.mode("overwrite").parquet(f"{path}/rollout={rollout}/nodes")
+    spark = nodes.sparkSession
+    n = spark.read.parquet(f"{path}/rollout={rollout}/nodes").count()
+    spark.createDataFrame([(rollout, n)], "completed_rollout int, num_nodes long").write.mode("overwrite").json(f"{path}/meta/rollout={rollout}")
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """(completed rollout, nodes) of the latest whole checkpoint."""
+    meta = spark.read.schema("completed_rollout int, num_nodes long").json(f"{path}/meta/*")
+    last = meta.agg(F.max("completed_rollout")).first()[0]
+    return last, spark.read.parquet(f"{path}/rollout={last}/nodes")
+
+
+def write_judged(df: DataFrame, path: str, documents: str = "documents", limit: int = 2000) -> None:
+    """Judged steps as JSON lines, their documents cut; null fields are left out."""
+    write_rows(df.withColumn(documents, F.substring(documents, 1, limit)), path, "jsonl")
+
+
+def write_scores(df: DataFrame, path: str, scores: str = "critic_step_scores") -> None:
+    """Per-trajectory scores with their minimum."""
+    write_rows(df.withColumn("critic_min", F.array_min(scores)), path, "jsonl")
+
+
+def write_training_samples(labeled: DataFrame, path: str, layout: str = "jsonl") -> None:
+    """A row a labelled step with the steps before it, of trajectories that weren't filtered.
+
+    ``labeled``: trajectory_id, question, steps (array of struct with step_id), labels (array), is_filtered.
+    """
+    kept = labeled.where("not is_filtered").select("trajectory_id", "question", "steps", F.posexplode("labels").alias("i", "label"))
+    rows = kept.where("label is not null").select("trajectory_id", F.col("i").alias("step_id"), "question", F.slice("steps", F.lit(1), F.col("i")).alias("prefix"), F.get("steps", F.col("i")).alias("step"), "label")
+    write_rows(rows, path, layout)
+
+
+def distinct_questions(trajectories: DataFrame) -> DataFrame:
+    """(question_id, question, gold_answer) of each question's first trajectory."""
+    from steploom.functions.text import question_id_of
+
+    rows = trajectories.select(question_id_of(F.col("trajectory_id")).alias("question_id"), "trajectory_id", "question", "gold_answer")
+    return rows.groupBy("question_id").agg(F.min_by(F.struct("question", "gold_answer"), "trajectory_id").alias("f")).select("question_id", "f.question", "f.gold_answer")
