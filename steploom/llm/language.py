@@ -23,14 +23,19 @@ SCRIPTS = {"zh": r"\p{IsHan}", "ru": r"\p{IsCyrillic}", "ja": r"[\p{IsHiragana}\
 LANGUAGES = (*WORDS, *SCRIPTS)
 
 
-def _listed(words: Column, listed: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*listed.split())))
+def function_words(text: Column) -> Column:
+    """The words of a text that are in any list. To be made a column of its own, as it is read once a language."""
+    known = sorted({w for listed in WORDS.values() for w in listed.split()})
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*known))
 
 
-def language_scores(text: Column) -> Column:
-    """Evidence for each of LANGUAGES: function words, or a quarter of the letters of its script."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    scores = [_listed(words, listed) for listed in WORDS.values()]
+def language_scores(text: Column, found: Column) -> Column:
+    """Evidence for each of LANGUAGES: function words (``found``), or a quarter of the letters of its script."""
+
+    def listed(words: str) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*words.split())))
+
+    scores = [listed(w) for w in WORDS.values()]
     foreign = text.rlike("[" + "".join(s.strip("[]") for s in SCRIPTS.values()) + "]")
     for script in SCRIPTS.values():
         letters = F.length(F.regexp_replace(text, rf"(?:(?!{script})[\s\S])+", ""))

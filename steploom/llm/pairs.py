@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.llm.endings import unfinished
-from steploom.llm.language import best_language, language_scores
+from steploom.llm.language import best_language, function_words, language_scores
 
 # Order of precedence where one type is wanted.
 DEFECTS = ("empty", "copies_prompt", "refusal", "truncated", "other_language")
@@ -33,6 +33,8 @@ REFUSALS = (
     # it, pt, ru, zh
     r"\bnon (?:posso|sono in grado di|mi è possibile) (?:aiutar|risponder|fornir|discuter|assister)\w*", r"\bnão (?:posso|consigo|me é possível) (?:ajudar|responder|fornecer|discutir)", r"я не (?:могу|в состоянии) (?:ответить|помочь|обсуждать|предоставить)", r"(?:我)?(?:无法|不能|没有办法)(?:回答|帮助|提供|协助|讨论)", r"作为(?:一个)?(?:人工智能|ai)",
 )
+# their common word boundary stands in front once, which spares trying them inside words
+_REFUSAL = r"\b(?:" + "|".join(r[2:] for r in REFUSALS if r.startswith(r"\b")) + ")|" + "|".join(r for r in REFUSALS if not r.startswith(r"\b"))
 _TAG = r"</?(?:think|search|answer|documents)>"
 
 
@@ -61,7 +63,9 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFra
     rows = rows.withColumn("__body", F.regexp_replace(text, _TAG, " "))
     prose = F.regexp_replace(text, r"(?s)<search>.*?(?:</search>|$)|<documents>.*?(?:</documents>|$)", " ")
     prose = F.regexp_replace(F.regexp_replace(prose, _TAG, " "), r"(?s)[\"“„«][^\"”“»]*(?:[\"”“»]|$)", " ")
-    rows = rows.withColumn("__content", _bare(body)).withColumn("__asked", _bare(question)).withColumn("__told", language_scores(prose)).withColumn("__lang", language_scores(question))
+    rows = rows.withColumn("__content", _bare(body)).withColumn("__asked", _bare(question)).withColumn("__prose", prose)
+    rows = rows.withColumn("__prose_words", function_words(F.col("__prose"))).withColumn("__question_words", function_words(question))
+    rows = rows.withColumn("__told", language_scores(F.col("__prose"), F.col("__prose_words"))).withColumn("__lang", language_scores(question, F.col("__question_words")))
     content, asked = F.col("__content"), F.col("__asked")
     # a last answer tag that is closed around nothing, whatever was thought before it
     hollow = text.rlike(r"(?s)<answer>[^\p{L}\p{N}]*</answer>\s*$")
@@ -74,7 +78,7 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFra
     found = {
         "empty": (content == "") | hollow,
         "copies_prompt": (asked != "") & (content != "") & ((rest == "") | prefix),
-        "refusal": F.lower(body).rlike("(?i)(?u)" + "|".join(REFUSALS)),
+        "refusal": F.lower(body).rlike(_REFUSAL),
         "truncated": unfinished(text),
         "other_language": (told_in != asked_in) & (F.array_max("__told") > 2 * own),
     }
