@@ -46,8 +46,8 @@ class Model:
 
 
 def _columns(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
-    """(item, annotator, vote, features) of a batch with columns who, votes and x."""
-    who, votes, x = (batch.column(batch.schema.get_field_index(c)) for c in ("who", "votes", "x"))
+    """(item, annotator, vote, features) of a batch by its code, vote and feature columns."""
+    who, votes, x = (batch.column(batch.schema.get_field_index(c)) for c in ("__codes", "__votes", "__features"))
     size = np.asarray(pc.list_value_length(who)).astype(np.int64)
     item = np.repeat(np.arange(len(size)), size)
     return item, np.asarray(who.flatten()), np.asarray(votes.flatten()), np.asarray(x.flatten(), dtype=float).reshape(-1, features)
@@ -82,7 +82,7 @@ class Consensus:
         if features is not None:
             items = items.join(features.select(*keys, F.col("x").alias("__x")), keys, "left")
             x = F.concat(x, F.coalesce("__x", F.array_repeat(F.lit(0.0), width)))
-        items = items.select(*keys, F.col("__v.__code").alias("who"), F.col("__v.__vote").alias("votes"), x.alias("x"))
+        items = items.select(*keys, F.col("__v.__code").alias("__codes"), F.col("__v.__vote").alias("__votes"), x.alias("__features"))
         self.items = store(items, "items")
         self.rounds = 0
         self.model = self._fit()
@@ -109,7 +109,7 @@ class Consensus:
             on = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["k", "v"])
 
-        summed = self.items.select("who", "votes", "x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        summed = self.items.select("__codes", "__votes", "__features").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(4 * a + d + d * d + 2)
         for r in summed:
             out[r.k] = r.v
@@ -163,6 +163,6 @@ class Consensus:
         spark = self.items.sparkSession
         schema = "annotator string, right_1 double, right_0 double, reliability double"
         rows = [(name, float(g), float(b), float(g + b - 1)) for name, b, g in zip(self.annotators, *self.model.right, strict=True)]
-        counts = self.items.select(F.explode("who").alias("c")).groupBy("c").agg(F.count("*").alias("n_votes"))
+        counts = self.items.select(F.explode("__codes").alias("c")).groupBy("c").agg(F.count("*").alias("n_votes"))
         codes = spark.createDataFrame(list(zip(self.annotators, range(len(self.annotators)), strict=True)), "annotator string, c int")
         return spark.createDataFrame(rows, schema).join(codes, "annotator").join(counts, "c").select("annotator", "n_votes", "right_1", "right_0", "reliability")

@@ -100,14 +100,14 @@ class Mix:
     table of bounded size and is collected. Records whose source is null or has no target, and
     records without tokens, are used 0 times. A target whose source has no tokens can't be met;
     its share goes to the others in proportion and is reported as 0. Null or negative targets and
-    limits count as 0. Repeated rows are records of their own. ``df`` is read twice and should be
-    stored if making it is dear.
+    limits count as 0. Repeated rows are records of their own. Other columns of ``df`` are not
+    read. ``df`` is read twice and should be stored if making it is dear.
     """
 
     def __init__(self, df: DataFrame, targets: DataFrame, budget: float | None = None, wanted_entropy: float | None = None, seed: int = 7):
         spark = df.sparkSession
         place = F.xxhash64(F.lit(seed), F.col("record"))
-        self.rows = df.withColumn("place", place).withColumn("block", F.pmod("place", F.lit(BLOCKS)).cast("int"))
+        self.rows = df.select("record", "source", "n_tokens").withColumn("place", place).withColumn("block", F.pmod("place", F.lit(BLOCKS)).cast("int"))
         wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
             F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("q"), F.max(F.greatest(F.coalesce("max_passes", F.lit(0)), F.lit(0))).alias("k")
         )

@@ -66,3 +66,9 @@ def test_verdicts(spark):
     labels = ["GOOD", " good", "Good.", "1", "BAD\n", "bad", "0", "", "unknown", None, "borderline"]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(labels)], "k int, v string")
     assert [r[0] for r in df.orderBy("k").select(verdict(df.v)).collect()] == [1, 1, 1, 1, 0, 0, 0, None, None, None, None]
+
+
+def test_keys_may_be_called_like_inner_columns(spark):
+    votes = spark.createDataFrame([("i", "w", 1, 1), ("i", "v", 1, 1), ("k", "w", 0, 1)], "who string, x string, vote int, votes int")
+    found = Consensus(votes, ["who"], "x", "vote", ["votes"]).labels().collect()
+    assert {(r.who, r.consensus) for r in found} == {("i", 1), ("k", 0)}

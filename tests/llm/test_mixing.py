@@ -31,7 +31,7 @@ def test_limits_are_met_with_the_smallest_exponent():
 def test_mix_reaches_targets(spark):
     rng = random.Random(4)
     rows = [(k, rng.choices(["big", "mid", "small", None, "other"], [60, 20, 5, 3, 12])[0], rng.choice([0, 1, 5, 40, 90])) for k in range(6000)]
-    df = spark.createDataFrame(rows, "record long, source string, n_tokens long").repartition(5)
+    df = spark.createDataFrame([(*r, 1, "x", None) for r in rows], "record long, source string, n_tokens long, block int, full string, cut int").repartition(5)
     targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.35, 2), ("small", 0.15, 4), ("missing", 0.1, 3), (None, 0.2, 1)], "source string, target_share double, max_passes int")
     mix = Mix(df, targets)
     out = {r.source: r for r in mix.shares().collect()}
