@@ -71,4 +71,4 @@ def test_verdicts(spark):
 def test_keys_may_be_called_like_inner_columns(spark):
     votes = spark.createDataFrame([("i", "w", 1, 1), ("i", "v", 1, 1), ("k", "w", 0, 1)], "who string, x string, vote int, votes int")
     found = Consensus(votes, ["who"], "x", "vote", ["votes"]).labels().collect()
-    assert {(r.who, r.consensus) for r in found} == {("i", 1), ("k", 0)}
+    assert {(r.who, r.n_votes) for r in found} == {("i", 2), ("k", 1)}
