@@ -27,9 +27,19 @@ def kto_loss(log_ratio: Column, z0: Column, good: Column, beta: float = 0.1, w_g
     return F.when(good, w_good * (1 - up)).otherwise(w_bad * (1 - down))
 
 
-def dpo_loss(chosen: Column, rejected: Column, beta: float = 0.1) -> Column:
-    """-log sigmoid of the difference of summed log-ratios."""
-    return -log_sigmoid(F.lit(beta) * (chosen - rejected))
+def dpo_loss(chosen: Column, rejected: Column, beta: float = 0.1, kind: str = "sigmoid", smoothing: float = 0.1) -> Column:
+    """Loss of the difference of summed log-ratios: sigmoid, ipo (squared distance from 1 / 2 beta), hinge,
+    or robust (sigmoid with a share of labels taken to be the wrong way round)."""
+    lead = chosen - rejected
+    if kind == "sigmoid":
+        return -log_sigmoid(F.lit(beta) * lead)
+    if kind == "ipo":
+        return F.pow(lead - F.lit(1 / (2 * beta)), 2)
+    if kind == "hinge":
+        return F.greatest(F.lit(0.0), 1 - F.lit(beta) * lead)
+    if kind == "robust":
+        return (-(1 - smoothing) * log_sigmoid(F.lit(beta) * lead) + smoothing * log_sigmoid(F.lit(-beta) * lead)) / (1 - 2 * smoothing)
+    raise ValueError(f"unknown loss {kind}")
 
 
 def masked_sum(values: Column, mask: Column) -> Column:

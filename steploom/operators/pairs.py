@@ -46,7 +46,7 @@ def combined_reward(f1: Column, critic: Column, alpha: float) -> Column:
     return f1 + F.coalesce(F.lit(alpha) * critic, F.lit(0.0))
 
 
-def sibling_pairs(nodes: DataFrame, alpha: float = 0.5, min_diff: float = 0.01, min_f1: float | None = None) -> DataFrame:
+def sibling_pairs(nodes: DataFrame, alpha: float = 0.3, min_diff: float = 0.01, min_f1: float | None = None) -> DataFrame:
     """Pairs of children of one parent, the better one chosen.
 
     ``nodes``: question_id, id, parent_id, depth, action, text, f1, critic. Pairs with a missing

@@ -64,7 +64,7 @@ from (select question_id, count(*) as n_attempts from votes group by question_id
 
 def step_score_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step scores of each trajectory as minimum, product and mean."""
-    v = views.votes(spark, sf_dir)
+    v = views.votes(spark, sf_dir, "critic_step_scores")
     s = F.filter(F.coalesce("critic_step_scores", F.array().cast("array<double>")), lambda x: x.isNotNull() & ~F.isnan(x))
     return v.select("trajectory_id", *(F.round(voting.step_score(s, m), 6).alias(m) for m in ("min", "product", "avg")))
 
@@ -164,7 +164,7 @@ _RPE_SQL = f"with {S} select trajectory_id, step_id, round(mc_after / (mc_before
 
 def take_until_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step labels of every trajectory up to the first BAD."""
-    v = views.votes(spark, sf_dir).where("critic_step_labels is not null")
+    v = views.votes(spark, sf_dir, "critic_step_labels").where("critic_step_labels is not null")
     kept = classify.take_until_bad(F.col("critic_step_labels"))
     return v.select("trajectory_id", F.array_join(kept.cast("array<string>"), "").alias("labels"), F.size(kept).alias("n_kept"))
 
@@ -175,7 +175,7 @@ select trajectory_id, array_to_string(l[1:k], '') as labels, cast(k as integer)
 
 def truncate_first_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each trajectory is cut: before its first BAD step, or its last step without one."""
-    v = views.votes(spark, sf_dir).where("size(critic_step_labels) > 0")
+    v = views.votes(spark, sf_dir, "critic_step_labels", "critic_step_scores").where("size(critic_step_labels) > 0")
     t = classify.truncate_at_bad(F.col("critic_step_labels"), F.col("critic_step_scores"))
     return v.select("trajectory_id", t.alias("t")).select("trajectory_id", "t.n_good", "t.bad_index", F.round("t.bad_score", 6).alias("bad_score"), "t.n_discarded")
 
@@ -251,7 +251,7 @@ select checkpoint, source, least(n, k) as size from t join n using (source)"""
 
 def all_good_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories whose steps are all good and have as many labels as scores."""
-    v = views.votes(spark, sf_dir)
+    v = views.votes(spark, sf_dir, "critic_step_labels", "critic_step_scores")
     good = F.forall("critic_step_labels", lambda x: x == 1) & (F.size("critic_step_labels") > 0) & (F.size("critic_step_labels") == F.size("critic_step_scores"))
     return v.where(good).select("trajectory_id", F.size("critic_step_labels").alias("n_steps"))
 
@@ -316,7 +316,7 @@ def merge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories with their latest critic scores."""
     t = read_table(spark, sf_dir, "trajectories")
     t = classify.last_per_id(t.select("trajectory_id", "question", "n_steps", "created_at", "ingested_at"), "trajectory_id", ["created_at", "ingested_at"])
-    v = views.votes(spark, sf_dir).select("trajectory_id", "critic_step_scores", "critic_step_labels", "score")
+    v = views.votes(spark, sf_dir, "critic_step_scores", "critic_step_labels").select("trajectory_id", "critic_step_scores", "critic_step_labels", "score")
     m = classify.merge_scores(t, v)
     return m.select("trajectory_id", "question", F.round("score", 6).alias("score"), (F.size("critic_step_labels") == F.col("n_steps")).alias("aligned"))
 

@@ -194,7 +194,7 @@ case when label = 'GOOD' then 1 else 0 end as label, cast(length(trim(coalesce(r
 
 def soft_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft scores of steps from the log-probabilities of both labels."""
-    v = views.votes(spark, sf_dir)
+    v = views.votes(spark, sf_dir, "critic_step_scores", "critic_step_labels")
     s = v.select("trajectory_id", F.posexplode("critic_step_scores").alias("place", "s"), "critic_step_labels")
     one, zero = F.when(F.col("s") > 0, F.log("s")), F.when(F.col("s") < 1, F.log(1 - F.col("s")))
     return s.select("trajectory_id", "place", F.round(parse.soft_score(one, zero, F.get("critic_step_labels", F.col("place"))), 6).alias("soft"))

@@ -82,7 +82,7 @@ def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("f1", F.coalesce("f1", F.round(F.col("total_value") % 1, 6)))
 
 
-_REWARDED = f"{T}, rewarded as (select * replace (coalesce(f1, round(total_value % 1, 6)) as f1) from nodes), scored as (select *, f1 + coalesce(0.5 * critic, 0) as reward from rewarded where parent_id is not null)"
+_REWARDED = f"{T}, rewarded as (select * replace (coalesce(f1, round(total_value % 1, 6)) as f1) from nodes), scored as (select *, f1 + coalesce(0.3 * critic, 0) as reward from rewarded where parent_id is not null)"
 _PAIRED = f"""{_REWARDED}, paired as (select a.question_id, a.parent_id, a.depth as step_level, case when a.reward > b.reward then a.id else b.id end as chosen_id, case when a.reward > b.reward then b.id else a.id end as rejected_id,
   case when a.reward > b.reward then a.action else b.action end as chosen_action, case when a.reward > b.reward then a.f1 else b.f1 end as chosen_f1, case when a.reward > b.reward then b.f1 else a.f1 end as rejected_f1, abs(a.reward - b.reward) as gap
   from scored a join scored b on a.question_id = b.question_id and a.parent_id = b.parent_id and a.id < b.id and a.text <> b.text where abs(a.reward - b.reward) >= 0.01), pairs as (select * from paired where chosen_action <> 'Other')"""
@@ -111,8 +111,8 @@ def regen_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.regeneration_targets(n, pairs.sibling_pairs(_rewarded(spark, sf_dir)), max_depth=DEPTH)
 
 
-_REGEN_SQL = f"""with {_UP}, rewarded as (select * replace (coalesce(f1, round(total_value % 1, 6)) as f1) from nodes), scored as (select *, f1 + coalesce(0.5 * critic, 0) as reward from rewarded where parent_id is not null),
-{_PAIRED.split('scored as (select *, f1 + coalesce(0.5 * critic, 0) as reward from rewarded where parent_id is not null), ')[1]},
+_REGEN_SQL = f"""with {_UP}, rewarded as (select * replace (coalesce(f1, round(total_value % 1, 6)) as f1) from nodes), scored as (select *, f1 + coalesce(0.3 * critic, 0) as reward from rewarded where parent_id is not null),
+{_PAIRED.split('scored as (select *, f1 + coalesce(0.3 * critic, 0) as reward from rewarded where parent_id is not null), ')[1]},
 k as (select question_id, count(*) as n from pairs group by 1), st as (select question_id, max(case when f1 >= 0.5 then f1 else 0 end) as top, count(feedback) as heard from nodes group by 1),
 q as (select st.question_id from st left join k using (question_id) where coalesce(n, 0) <= 2 and top <= 0 and heard > 0),
 leaf as (select question_id, id from nodes where is_terminal and question_id in (select question_id from q)),

@@ -99,16 +99,20 @@ nodes as (
 # ------------------------------------------------------------------ DataFrames
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last scoring of every trajectory: question_id, answer, gold, is_correct, score, ord, step scores and labels."""
+def votes(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """The last scoring of every trajectory: question_id, answer, gold, is_correct, score, ord.
+
+    ``extra`` names further columns to be carried along; arrays that nobody asks for are neither read
+    nor shuffled.
+    """
     t = read_table(spark, sf_dir, "scored_trajectories")
     q = F.coalesce("question_id", question_id_of(F.col("trajectory_id")))
     score = F.when(F.col("critic_min").isNull() | F.isnan("critic_min"), 0.0).otherwise(F.col("critic_min"))
     rows = t.select(
         "trajectory_id", q.alias("question_id"), F.col("predicted_answer").alias("answer"), F.col("gold_answer").alias("gold"), F.coalesce("is_correct", F.lit(False)).alias("is_correct"),
-        score.alias("score"), "critic_step_scores", "critic_step_labels", F.unix_micros(F.col("scored_at").cast("timestamp")).alias("ord"), "scored_at", "ingested_at",
+        score.alias("score"), *extra, F.unix_micros(F.col("scored_at").cast("timestamp")).alias("ord"), "scored_at", "ingested_at",
     )
-    others = ["question_id", "answer", "gold", "is_correct", "score", "critic_step_scores", "critic_step_labels", "ord"]
+    others = ["question_id", "answer", "gold", "is_correct", "score", *extra, "ord"]
     last = F.max_by(F.struct(*others), F.struct("scored_at", "ingested_at", "question_id"))
     return rows.groupBy("trajectory_id").agg(last.alias("r")).select("trajectory_id", "r.*")
 
