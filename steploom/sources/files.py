@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steploom.functions.text import truncate_marked
+from steploom.plans.storage import store
 from steploom.sources import schemas
 
 
@@ -84,7 +85,8 @@ def write_labeled(df: DataFrame, path: str, layout: str = "jsonl", include_filte
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """A dense arrival ordinal by a total order, from range-partitioned counts instead of one sorted task."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__i", F.monotonically_increasing_id() % F.lit(1 << 33))
+    # stored, as range borders come from samples and could differ if this were worked out twice
+    ranged = store(ranged.withColumn("__i", F.monotonically_increasing_id() % F.lit(1 << 33)), "ordinal")
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"))  # a row a partition
     before = counts.withColumn("__before", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")
     return ranged.join(F.broadcast(before), "__p").withColumn("ord", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
