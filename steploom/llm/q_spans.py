@@ -32,7 +32,12 @@ def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).copies().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared, "p9_copies": p9_copies}
+def p9_crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a stretch in common with thousands of others, with its class."""
+    return _spans(spark, sf_dir).crowds().withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared, "p9_copies": p9_copies, "p9_crowds": p9_crowds}
 SQL = {
     "p9_copies": """
 select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies

@@ -32,6 +32,7 @@ CHUNK_POINTS = 1 << 20
 BLOCK_ROWS = 1 << 20
 PAIRWISE = 64  # classes up to this size are compared pair by pair, larger ones by their stretches
 EXPAND = 64  # classes of exact copies up to this size are written out pair by pair
+CROWD = 4096  # texts with one stretch in common up to which all their pairs are written out
 
 DECIDE, PASS, EVIDENCE = 0, 1, 2
 
@@ -311,16 +312,30 @@ class SharedSpans:
         """(a, b): keys of different texts that share a span."""
         small, large = self._split()
         s = _stretches(large, self.span).select("stretch", "key", "before").distinct()
-        x, y = s.toDF("stretch", "a", "p"), s.toDF("stretch", "b", "q")
+        crowds = self._crowds()
+        few, many = s.join(crowds, "stretch", "left_anti"), s.join(crowds, "stretch")
+        x, y = few.select("stretch", "key", "before").toDF("stretch", "a", "p"), few.select("stretch", "key", "before").toDF("stretch", "b", "q")
         head = (F.col("p") != F.col("q")) | (F.col("p") < 0)
         wide = x.join(y, "stretch").where((F.col("a") < F.col("b")) & head).select("a", "b")
-        return _compared(small, self.span, False).union(wide).distinct()
+        star = many.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+        return _compared(small, self.span, False).union(wide).union(star).distinct()
+
+    def _crowds(self) -> DataFrame:
+        """(stretch, lead): stretches of more than CROWD texts, with the smallest key among these."""
+        one = _stretches(self._split()[1], self.span).select("stretch", "key").distinct()
+        return one.groupBy("stretch").agg(F.count("*").alias("n"), F.min("key").alias("lead")).where(F.col("n") > CROWD).select("stretch", "lead")
+
+    def crowds(self) -> DataFrame:
+        """(doc, class_id) of the records in stretches of more than CROWD texts, which pairs link to one of them only."""
+        found = _stretches(self._split()[1], self.span).join(self._crowds(), "stretch").select("key", "stretch").distinct()
+        return self.members.join(found, "key").select("doc", F.col("stretch").alias("class_id")).distinct()
 
     def pairs(self, first: str, second: str) -> DataFrame:
         """Pairs of records, the smaller id first, exact copies included.
 
         A class of more than EXPAND exact copies stands for itself by its smallest id and is
-        linked to each of its copies; :meth:`copies` has its members.
+        linked to each of its copies; :meth:`copies` has its members. Where more than CROWD texts
+        have one stretch in common, each is linked to one of them; :meth:`crowds` has them all.
         """
         few = F.col("copies") <= EXPAND
         member = self.members.join(self.classes, "key").where(few | (F.col("doc") == F.col("rep"))).select("key", "doc")

@@ -60,6 +60,18 @@ def test_large_copy_class_is_a_star(spark, monkeypatch):
     assert SharedSpans(spark.createDataFrame(rows, "d long, t string"), "d", "t").copies().count() == 5
 
 
+def test_crowds_are_stars(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PAIRWISE", 2)
+    monkeypatch.setattr(spans, "CROWD", 5)
+    header = "the same licence header of more than a hundred characters stands in front of each of these many files. "
+    rows = [(k, header + f"body {k} " * 5) for k in range(9)] + [(50, "x" + header[:101]), (51, "nothing in common with the others")]
+    s = SharedSpans(spark.createDataFrame(rows, "d long, t string"), "d", "t")
+    got = {tuple(r) for r in s.pairs("a", "b").collect()}
+    linked = {x for p in got for x in p}
+    assert linked == {*range(9), 50} and len(got) < 45
+    assert {r.doc for r in s.crowds().collect()} == linked
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "d long, t string")
     assert SharedSpans(df, "d", "t").pairs("a", "b").count() == 0
