@@ -57,12 +57,12 @@ _WINDOW_SQL = "select event_id, round(avg(value) over w, 6) as recent_avg, min(v
 
 def lagged_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline before and exponential average after every event of a user."""
-    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("value") - 50) / 3).alias("v"))
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("value") - 50) * 0.7310585786300049).alias("v"))
     out = losses.lagged_ema(e, "user_id", "event_id", "v")
     return out.select("user_id", "event_id", F.round("z0", 5).alias("z0"), F.round("ema", 5).alias("ema"))
 
 
-_EMA_SQL = """with e as (select user_id, event_id, (value - 50) / 3 as v, row_number() over (partition by user_id order by event_id) as i from events),
+_EMA_SQL = """with e as (select user_id, event_id, (value - 50) * cast('0.7310585786300049' as double) as v, row_number() over (partition by user_id order by event_id) as i from events),
 m as (select a.user_id, a.event_id, sum(0.1 * power(0.9, a.i - b.i) * b.v) as ema, coalesce(sum(case when b.i < a.i then 0.1 * power(0.9, a.i - 1 - b.i) * b.v end), 0) as before from e a join e b on a.user_id = b.user_id and b.i <= a.i group by 1, 2)
 select user_id, event_id, round(greatest(0, before), 5) + 0.0 as z0, round(ema, 5) as ema from m"""
 
