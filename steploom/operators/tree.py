@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from steploom.plans.storage import store
 
-MAX_DEPTH = 7
+ROUNDS = 8  # joins of a climb from which on its front is stored
 
 
 def action_type(search: Column, answer: Column, think: Column) -> Column:
@@ -19,30 +19,40 @@ def action_type(search: Column, answer: Column, think: Column) -> Column:
     return F.when(there(search), "Search").when(there(answer), "Answer").when(there(think), "Reason").otherwise("Other")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def deepest(nodes: DataFrame, max_depth: int | None = None) -> int:
+    """The depth of the deepest node; an error if that is beyond a ``max_depth`` that was promised."""
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    if max_depth is not None and depth > max_depth:
+        raise ValueError(f"a node lies at depth {depth}, beyond max_depth {max_depth}")
+    return depth
+
+
+def ancestors(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(question_id, id, ancestor, distance) of every node, itself included.
 
-    A climb of at most ``max_depth`` equi-joins on (question_id, id); depth bounds the rounds, so
-    no lineage has to be cut. Rows grow with nodes times depth.
+    A climb of as many equi-joins on (question_id, id) as the deepest node needs; every ROUNDS of them
+    the front is stored. Rows grow with nodes times depth.
     """
     parents = nodes.select("question_id", F.col("id").alias("up"), F.col("parent_id").alias("next"))
     front = nodes.select("question_id", "id", F.col("id").alias("ancestor"), F.col("parent_id").alias("next"), F.lit(0).alias("distance"))
     out = front.select("question_id", "id", "ancestor", "distance")
-    for distance in range(1, max_depth + 1):
+    for distance in range(1, deepest(nodes, max_depth) + 1):
         step = front.where("next is not null").select("question_id", "id", F.col("next").alias("up"))
         front = step.join(parents, ["question_id", "up"]).select("question_id", "id", F.col("up").alias("ancestor"), "next", F.lit(distance).alias("distance"))
+        if distance % ROUNDS == 0:
+            front = store(front, "tree-front")
         out = out.unionByName(front.select("question_id", "id", "ancestor", "distance"))
     return out
 
 
-def paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def paths(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(question_id, id, path): ids from the root to each node."""
     up = ancestors(nodes, max_depth)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor")))
     return up.groupBy("question_id", "id").agg(F.transform(ordered, lambda x: x["ancestor"]).alias("path"))
 
 
-def backpropagate(nodes: DataFrame, values: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def backpropagate(nodes: DataFrame, values: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(question_id, id, visits, total_value) after each of ``values`` (question_id, id, value) went up.
 
     A null value counts as a visit that brings its value later; a correction without a visit is a
@@ -68,21 +78,22 @@ def select_children(nodes: DataFrame, c: float = 1.414) -> DataFrame:
     return scored.groupBy("question_id", "parent_id").agg(best.alias("b")).select("question_id", "parent_id", (-F.col("b.first")).alias("id"), F.col("b.ucb").alias("ucb"))
 
 
-def propagate_rewards(nodes: DataFrame, beta: float = 0.9, max_depth: int = MAX_DEPTH) -> DataFrame:
+def propagate_rewards(nodes: DataFrame, beta: float = 0.9, max_depth: int | None = None) -> DataFrame:
     """(question_id, id, depth, reward): leaves f1 * beta^depth, inner nodes the visit-weighted mean below.
 
     One aggregate a level from the deepest up; levels above the fourth are cut from the lineage.
     Children without visits are averaged plainly, a node without scored children gets 0.
     """
     base = nodes.select("question_id", "id", "parent_id", "depth", "visit_count", F.when(F.col("is_terminal"), F.coalesce("f1", F.lit(0.0)) * F.pow(F.lit(beta), F.col("depth"))).alias("own"))
-    done = base.where(F.col("depth") == max_depth).withColumn("reward", F.coalesce("own", F.lit(0.0)))
+    bottom = deepest(nodes, max_depth)
+    done = base.where(F.col("depth") == bottom).withColumn("reward", F.coalesce("own", F.lit(0.0)))
     below = done
-    for level in range(max_depth - 1, -1, -1):
+    for level in range(bottom - 1, -1, -1):
         weighted = F.try_divide(F.sum(F.col("reward") * F.col("visit_count")), F.sum("visit_count"))
         means = below.where("parent_id is not null").groupBy("question_id", F.col("parent_id").alias("id")).agg(F.coalesce(F.when(F.sum("visit_count") > 0, weighted), F.avg("reward")).alias("mean"))
         here = base.where(F.col("depth") == level).join(means, ["question_id", "id"], "left")
         below = here.withColumn("reward", F.coalesce("own", "mean", F.lit(0.0))).drop("mean").select(done.columns)
-        if max_depth - level > 4:
+        if bottom - level > 4:
             below = store(below, "tree-level")
         done = done.unionByName(below)
     return done.select("question_id", "id", "depth", F.round("reward", 9).alias("reward"))
@@ -97,7 +108,7 @@ def tree_statistics(nodes: DataFrame) -> DataFrame:
     )
 
 
-def regeneration_targets(nodes: DataFrame, pairs: DataFrame, max_pairs: int = 2, max_depth: int = MAX_DEPTH) -> DataFrame:
+def regeneration_targets(nodes: DataFrame, pairs: DataFrame, max_pairs: int = 2, max_depth: int | None = None) -> DataFrame:
     """Where to start again in trees that failed: the best path and its first failing node.
 
     A question qualifies with at most ``max_pairs`` pairs, no reward above 0 and some feedback. Of its

@@ -9,14 +9,14 @@ from steploom.operators import pairs, tree
 from steploom.plans import views
 
 T = views.TREE_SQL
-DEPTH = 5  # a customer has few orders
+LEVELS = 5  # depth to which the SQL of tree_propagate is written out; the queries take theirs from the data
 _UP = f"""recursive {T}, up as (select question_id, id, id as ancestor, 0 as distance from nodes
   union all select up.question_id, up.id, n.parent_id, up.distance + 1 from up join nodes n on n.question_id = up.question_id and n.id = up.ancestor where n.parent_id is not null)"""
 
 
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids from the root to every node."""
-    p = tree.paths(views.tree(spark, sf_dir), DEPTH)
+    p = tree.paths(views.tree(spark, sf_dir))
     return p.select("question_id", "id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -26,7 +26,7 @@ _PATHS_SQL = f"with {_UP} select question_id, id, string_agg(cast(ancestor as va
 def tree_backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits and value of every node after each leaf's reward went up to the root."""
     n = views.tree(spark, sf_dir)
-    out = tree.backpropagate(n, n.where("is_terminal").select("question_id", "id", F.col("f1").alias("value")), DEPTH)
+    out = tree.backpropagate(n, n.where("is_terminal").select("question_id", "id", F.col("f1").alias("value")))
     return out.select("question_id", "id", "visits", F.round("total_value", 6).alias("total_value"))
 
 
@@ -37,7 +37,7 @@ def tree_retroactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for scores that come after their visit: values without visits, discounted by depth."""
     n = views.tree(spark, sf_dir)
     late = n.where("not is_terminal and critic is not null").select("question_id", "id", (F.col("critic") * F.pow(F.lit(0.9), F.col("depth"))).alias("value"), F.lit(0).alias("visit"))
-    out = tree.backpropagate(n, late, DEPTH)
+    out = tree.backpropagate(n, late)
     return out.select("question_id", "id", "visits", F.round("total_value", 6).alias("total_value"))
 
 
@@ -55,15 +55,15 @@ select question_id, parent_id, id, ucb from (select *, row_number() over (partit
 
 def tree_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards of all nodes from their leaves' up."""
-    return tree.propagate_rewards(views.tree(spark, sf_dir), max_depth=DEPTH)
+    return tree.propagate_rewards(views.tree(spark, sf_dir))
 
 
 def _level_sql() -> str:
     ctes = []
-    for level in range(DEPTH, -1, -1):
-        mean = f"(select question_id, parent_id, sum(reward * visit_count) / sum(visit_count) as mean from l{level + 1} group by 1, 2)" if level < DEPTH else "(select null::bigint as question_id, null::integer as parent_id, null::double as mean where false)"
+    for level in range(LEVELS, -1, -1):
+        mean = f"(select question_id, parent_id, sum(reward * visit_count) / sum(visit_count) as mean from l{level + 1} group by 1, 2)" if level < LEVELS else "(select null::bigint as question_id, null::integer as parent_id, null::double as mean where false)"
         ctes.append(f"l{level} as (select n.question_id, n.id, n.parent_id, n.depth, n.visit_count, coalesce(case when n.is_terminal then coalesce(n.f1, 0) * power(0.9, n.depth) end, m.mean, 0) as reward from nodes n left join {mean} m on m.question_id = n.question_id and m.parent_id = n.id where n.depth = {level})")
-    union = " union all ".join(f"select question_id, id, depth, round(reward, 9) as reward from l{level}" for level in range(DEPTH + 1))
+    union = " union all ".join(f"select question_id, id, depth, round(reward, 9) as reward from l{level}" for level in range(LEVELS + 1))
     return f"with {T}, {', '.join(ctes)} {union}"
 
 
@@ -108,7 +108,7 @@ def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regen_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where to start again in trees without any reward."""
     n = views.tree(spark, sf_dir).withColumn("f1", F.when(F.col("f1") >= 0.5, F.col("f1")))
-    return tree.regeneration_targets(n, pairs.sibling_pairs(_rewarded(spark, sf_dir)), max_depth=DEPTH)
+    return tree.regeneration_targets(n, pairs.sibling_pairs(_rewarded(spark, sf_dir)))
 
 
 _REGEN_SQL = f"""with {_UP}, rewarded as (select * replace (coalesce(f1, round(total_value % 1, 6)) as f1) from nodes), scored as (select *, f1 + coalesce(0.3 * critic, 0) as reward from rewarded where parent_id is not null),
