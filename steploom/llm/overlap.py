@@ -4,10 +4,10 @@ Questions and answers are normalised, and records that agree then form a class w
 representative. A representative's fingerprint has 128 bits: each is the sign of a weighted sum
 over the character trigrams of the question's words, words that very many questions use counting
 little. Records to be joined must also agree in a piece of the answer, so the fingerprint is
-joined in segments within such a piece: 16 blocks of 8 bits, of which one must agree, or, where
-an answer is so frequent that 8 bits divide too little, every 2 of the 16 blocks together. Up to 15
-(14) differing bits can't be missed; beyond that a pair needs one (two) blocks without a difference.
-Pairs within the Hamming radius are verified on their words.
+joined in segments within such a piece: 16 blocks of 8 bits, of which one must agree. Where an answer
+is so frequent that 8 bits divide too little, the digits of the questions, which no true pair differs
+in, divide further. Up to 15 differing bits can't be missed; beyond that a pair needs a block without a
+difference. Pairs within the Hamming radius are verified on their words.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BITS, BLOCKS = 128, 16
 RADIUS = 40
 COMMON = 0.005  # share of the records from which on a word counts little
 COMMON_WEIGHT = 0.4
-HEAVY = 1024  # representatives with one piece of answer from which on two blocks are asked for
+HEAVY = 1024  # representatives with one piece of answer from which on buckets are divided by the questions' digits
 EXPAND = 64
 
 # Words whose presence changes nothing that is asked (articles, copulas, which/what,
@@ -124,6 +124,11 @@ def answer_pieces(answer: str) -> list[str]:
     return ["=" + flat] if len(flat) <= 6 else ["<" + flat[:size], ">" + flat[-size:]]
 
 
+def digits_of(question: str) -> str:
+    """The numeric characters in order of value, which :func:`same_question` lets no pair differ in."""
+    return "".join(sorted(filter(str.isnumeric, question)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -197,21 +202,22 @@ class SplitOverlap:
         self.spark = spark
 
     def _hashed(self) -> DataFrame:
-        """(key, in_train, in_other, piece, f: 16 blocks): a row a representative and piece of answer."""
+        """(key, in_train, in_other, piece, digits, f: 16 blocks): a row a representative and piece of answer."""
         common = self.common
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                prints = fingerprints([q.split() for q in batch.column(1).to_pylist()], common)
+                questions = batch.column(1).to_pylist()
+                prints = fingerprints([q.split() for q in questions], common)
                 pieces = [answer_pieces(a) for a in batch.column(2).to_pylist()]
                 pick = pa.array(np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]))
                 blocks = pa.FixedSizeListArray.from_arrays(pa.array(prints.astype(np.int16).ravel()), BLOCKS).cast(pa.list_(pa.int16()))
                 words = prints.view(np.int64)
-                columns = [batch.column(0), batch.column(3), batch.column(4), blocks, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())]
+                columns = [batch.column(0), batch.column(3), batch.column(4), blocks, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([digits_of(q) for q in questions], pa.string())]
                 made = [c.take(pick) for c in columns]
-                yield pa.RecordBatch.from_arrays([*made, pa.array([x for p in pieces for x in p], pa.string())], ["key", "in_train", "in_other", "f", "f0", "f1", "piece"])
+                yield pa.RecordBatch.from_arrays([*made, pa.array([x for p in pieces for x in p], pa.string())], ["key", "in_train", "in_other", "f", "f0", "f1", "digits", "piece"])
 
-        return self.reps.mapInArrow(run, "key long, in_train boolean, in_other boolean, f array<short>, f0 long, f1 long, piece string")
+        return self.reps.mapInArrow(run, "key long, in_train boolean, in_other boolean, f array<short>, f0 long, f1 long, digits string, piece string")
 
     def near(self) -> DataFrame:
         """(a, b): keys of different classes, a with training records and b with others, that agree."""
@@ -219,9 +225,8 @@ class SplitOverlap:
         heavy = hashed.groupBy("piece").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("piece", F.lit(True).alias("heavy"))
         rows = hashed.join(heavy, "piece", "left")
         one = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: i * 65536 + F.get("f", i).cast("int"))
-        two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(BLOCKS - 1)), lambda j: (i * BLOCKS + j) * 65536 + F.get("f", i).cast("int") * 256 + F.get("f", j).cast("int"))))
-        keyed = rows.select("key", "in_train", "in_other", "f0", "f1", "piece", F.explode(F.when(F.col("heavy"), two).otherwise(one)).alias("block"))
-        keyed = keyed.select("key", "in_train", "in_other", "f0", "f1", F.xxhash64("piece", "block").alias("bucket"))
+        keyed = rows.select("key", "in_train", "in_other", "f0", "f1", "piece", F.when(F.col("heavy"), F.col("digits")).alias("digits"), F.explode(one).alias("block"))
+        keyed = keyed.select("key", "in_train", "in_other", "f0", "f1", F.xxhash64("piece", "block", "digits").alias("bucket"))
         left = keyed.where("in_train").select("bucket", F.col("key").alias("a"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
         right = keyed.where("in_other").select("bucket", F.col("key").alias("b"), F.col("f0").alias("y0"), F.col("f1").alias("y1"))
         distance = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
