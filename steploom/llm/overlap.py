@@ -3,8 +3,9 @@
 Questions and answers are normalised, and records that agree then form a class with one
 representative. A representative's fingerprint has 128 bits: each is the sign of a weighted sum
 over the character trigrams of the question's words, words that very many questions use counting
-little. Records to be joined must also agree in a piece of the answer, so the fingerprint is
-joined in segments within such a piece: 16 blocks of 8 bits, of which one must agree. Where an answer
+little. Records to be joined must also have the same answer up to typing; the different answers are
+paired first, by keys of which such answers share one, and the fingerprint is joined in segments within
+an answer and those paired with it: 16 blocks of 8 bits, of which one must agree. Where an answer
 is so frequent that 8 bits divide too little, the digits of the questions, which no true pair differs
 in, divide further. Up to 15 differing bits can't be missed; beyond that a pair needs a block without a
 difference. Pairs within the Hamming radius are verified on their words.
@@ -12,6 +13,7 @@ difference. Pairs within the Hamming radius are verified on their words.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ BITS, BLOCKS = 128, 16
 RADIUS = 40
 COMMON = 0.005  # share of the records from which on a word counts little
 COMMON_WEIGHT = 0.4
-HEAVY = 1024  # representatives with one piece of answer from which on buckets are divided by the questions' digits
+HEAVY = 1024  # representatives with one answer from which on buckets are divided by the questions' digits
 EXPAND = 64
 
 # Words whose presence changes nothing that is asked (articles, copulas, which/what,
@@ -117,11 +119,33 @@ def same_answer(a: str, b: str) -> bool:
     return all(typed_alike(p, q) for p, q in zip(x, y, strict=True)) and sum(p != q for p, q in zip(x, y, strict=True)) <= 1
 
 
-def answer_pieces(answer: str) -> list[str]:
-    """Pieces of which a slip of typing leaves at least one: both ends of a long answer."""
-    flat = answer.replace(" ", "")
-    size = 5 if len(flat) >= 11 else 3
-    return ["=" + flat] if len(flat) <= 6 else ["<" + flat[:size], ">" + flat[-size:]]
+def _variants(word: str) -> set[str]:
+    """Strings of which any two words that :func:`typed_alike` accepts share one.
+
+    Up to 26 letters what is left after as many deletions as slips are allowed; from 25 on both ends and
+    the middle, one of which two slips leave (the middle moved by one at most).
+    """
+    n = len(word)
+    if n < 2 or any(map(str.isnumeric, word)):
+        return set()
+    out = set()
+    if n <= 26:
+        once = {word[:k] + word[k + 1 :] for k in range(n)}
+        out = {word} | once | ({w[:k] + w[k + 1 :] for w in once for k in range(n - 1)} if n >= 8 else set())
+    if n >= 25:
+        out |= {"<" + word[:6], ">" + word[-6:], *("~" + word[k : k + 6] for k in (8, 9, 10))}
+    return out
+
+
+def answer_keys(answer: str) -> list[str]:
+    """Keys of which any two answers that :func:`same_answer` accepts share one."""
+    words = answer.split()
+    keys = ["=" + "".join(words)]
+    for k, word in enumerate(words):
+        rest = " ".join(words[:k]) + "\1" + " ".join(words[k + 1 :])
+        name = hashlib.blake2b(rest.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        keys += [name + v for v in _variants(word)]
+    return keys
 
 
 def digits_of(question: str) -> str:
@@ -202,33 +226,49 @@ class SplitOverlap:
         self.spark = spark
 
     def _hashed(self) -> DataFrame:
-        """(key, in_train, in_other, piece, digits, f: 16 blocks): a row a representative and piece of answer."""
+        """(key, in_train, in_other, answer, digits, f: 16 blocks) of every representative."""
         common = self.common
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 questions = batch.column(1).to_pylist()
                 prints = fingerprints([q.split() for q in questions], common)
-                pieces = [answer_pieces(a) for a in batch.column(2).to_pylist()]
-                pick = pa.array(np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]))
                 blocks = pa.FixedSizeListArray.from_arrays(pa.array(prints.astype(np.int16).ravel()), BLOCKS).cast(pa.list_(pa.int16()))
                 words = prints.view(np.int64)
                 columns = [batch.column(0), batch.column(3), batch.column(4), blocks, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([digits_of(q) for q in questions], pa.string())]
-                made = [c.take(pick) for c in columns]
-                yield pa.RecordBatch.from_arrays([*made, pa.array([x for p in pieces for x in p], pa.string())], ["key", "in_train", "in_other", "f", "f0", "f1", "digits", "piece"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(5)], ["key", "in_train", "in_other", "f", "f0", "f1", "digits", "answer"])
+
+        return self.reps.withColumn("answer", F.xxhash64("a")).mapInArrow(run, "key long, in_train boolean, in_other boolean, f array<short>, f0 long, f1 long, digits string, answer long")
+
+    def _answers(self) -> DataFrame:
+        """(answer, piece): answers of training records, and those of others that may be the same, themselves included."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [answer_keys(a) for a in batch.column(0).to_pylist()]
+                pick = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                made = [batch.column(c).take(pick) for c in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array([x for k in keys for x in k], pa.string())], ["answer", "in_train", "in_other", "k"])
 
-        return self.reps.mapInArrow(run, "key long, in_train boolean, in_other boolean, f array<short>, f0 long, f1 long, digits string, piece string")
+        each = self.reps.groupBy("a").agg(F.max("in_train").alias("in_train"), F.max("in_other").alias("in_other")).select("a", F.xxhash64("a").alias("answer"), "in_train", "in_other")
+        keyed = each.mapInArrow(run, "answer long, in_train boolean, in_other boolean, k string").withColumn("k", F.xxhash64("k"))
+        left, right = keyed.where("in_train").select("k", "answer"), keyed.where("in_other").select("k", F.col("answer").alias("piece"))
+        return left.join(right, "k").select("answer", "piece").distinct()
 
     def near(self) -> DataFrame:
         """(a, b): keys of different classes, a with training records and b with others, that agree."""
         hashed = store(self._hashed(), "fingerprints")
-        heavy = hashed.groupBy("piece").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("piece", F.lit(True).alias("heavy"))
-        rows = hashed.join(heavy, "piece", "left")
+        carried = ("key", "f", "f0", "f1", "digits", "piece")
+        left = hashed.where("in_train").join(self._answers(), "answer").select(*carried, F.lit(True).alias("train"))
+        right = hashed.where("in_other").withColumn("piece", F.col("answer")).select(*carried, F.lit(False).alias("train"))
+        sides = store(left.union(right), "overlap-sides")
+        heavy = sides.groupBy("piece").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("piece", F.lit(True).alias("heavy"))
+        rows = sides.join(heavy, "piece", "left")
         one = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: i * 65536 + F.get("f", i).cast("int"))
-        keyed = rows.select("key", "in_train", "in_other", "f0", "f1", "piece", F.when(F.col("heavy"), F.col("digits")).alias("digits"), F.explode(one).alias("block"))
-        keyed = keyed.select("key", "in_train", "in_other", "f0", "f1", F.xxhash64("piece", "block", "digits").alias("bucket"))
-        left = keyed.where("in_train").select("bucket", F.col("key").alias("a"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
-        right = keyed.where("in_other").select("bucket", F.col("key").alias("b"), F.col("f0").alias("y0"), F.col("f1").alias("y1"))
+        keyed = rows.select("key", "train", "f0", "f1", "piece", F.when(F.col("heavy"), F.col("digits")).alias("digits"), F.explode(one).alias("block"))
+        keyed = keyed.select("key", "train", "f0", "f1", F.xxhash64("piece", "block", "digits").alias("bucket"))
+        left = keyed.where("train").select("bucket", F.col("key").alias("a"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
+        right = keyed.where("not train").select("bucket", F.col("key").alias("b"), F.col("f0").alias("y0"), F.col("f1").alias("y1"))
         distance = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
         pairs = left.join(right, "bucket").where((F.col("a") != F.col("b")) & (distance <= RADIUS)).select("a", "b").distinct()
         texts = self.reps.select("key", "q", "a")

@@ -46,3 +46,29 @@ def test_digits_divide_no_pair():
         b = [rng.choice(["19", "57", "1957", "orlo", "orol", "bay", "5x", "the", "teh"]) for _ in range(rng.randrange(1, 5))]
         if same_question(a, b):
             assert overlap.digits_of(" ".join(a)) == overlap.digits_of(" ".join(b))
+
+
+def slipped(rng, word):
+    k = rng.randrange(len(word))
+    return rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abcxyz") + word[k:], word[:k] + rng.choice("abcxyz") + word[k + 1 :], word[:k] + word[k + 1 : k + 2] + word[k] + word[k + 2 :]])
+
+
+def test_same_answers_share_a_key():
+    rng, met = random.Random(8), 0
+    for _ in range(6000):
+        words = ["".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 8, 10, 11, 24, 25, 26, 27, 40]))) for _ in range(rng.randrange(1, 4))]
+        k, a = rng.randrange(len(words)), " ".join(words)
+        for _ in range(rng.choice([1, 2])):
+            words[k] = slipped(rng, words[k]) or "a"
+        b = rng.choice([" ", " ", ""]).join(words)
+        if overlap.same_answer(a, b):
+            met += 1
+            assert set(overlap.answer_keys(a)) & set(overlap.answer_keys(b)), (a, b)
+    assert met > 2000
+
+
+def test_slips_across_answer_lengths(spark):
+    answers = [("orlo bayins", "orlo bayyins"), ("minkov", "mminkov"), ("orlo", "olro"), ("tarpolinas", "atrpolinsa"), ("a" * 12 + "b" * 13, "a" * 11 + "b" * 13)]
+    assert all(overlap.same_answer(*x) for x in answers)
+    rows = [(f"{side}{k}", part, "s", f"Where did Tarpolin Rovers number {k} go?", a) for k, pair in enumerate(answers) for side, part, a in zip("tv", ("train", "test"), pair, strict=True)]
+    assert found(spark, rows) == {(f"t{k}", f"v{k}") for k in range(len(answers))}
