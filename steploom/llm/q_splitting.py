@@ -23,7 +23,8 @@ def _split(spark: SparkSession, sf_dir: str) -> GroupedSplit:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir).linked_pairs("question_id_a", "question_id_b")
+    """Every two question ids that must share a split, also in the largest components."""
+    return _split(spark, sf_dir).linked_pairs("question_id_a", "question_id_b", expand=None)
 
 
 def p6_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,14 +196,16 @@ class GroupedSplit:
         """(entity, component, split) of every entity."""
         return self.entities.join(self.split, "component").select(F.col("node").alias("entity"), "component", "split")
 
-    def linked_pairs(self, first: str, second: str, expand: int = 64) -> DataFrame:
+    def linked_pairs(self, first: str, second: str, expand: int | None = 64) -> DataFrame:
         """Pairs of different entities that must share a split, the smaller first.
 
-        Components of more than ``expand`` entities are given as pairs with their smallest entity.
+        Components of more than ``expand`` entities are given as pairs with their smallest entity; None
+        gives every pair, quadratic in the largest component.
         """
         sizes = self.linked.groupBy("component").agg(F.count("*").alias("size"))
         rows = self.linked.join(sizes, "component")
-        small = rows.where(F.col("size") <= expand).select("component", "node")
+        few = F.lit(True) if expand is None else F.col("size") <= expand
+        small = rows.where(few).select("component", "node")
         pairs = small.toDF("component", "x").join(small.toDF("component", "y"), "component").where("x < y").select("x", "y")
-        star = rows.where((F.col("size") > expand) & (F.col("node") != F.col("component"))).select(F.col("component").alias("x"), F.col("node").alias("y"))
+        star = rows.where(~few & (F.col("node") != F.col("component"))).select(F.col("component").alias("x"), F.col("node").alias("y"))
         return pairs.union(star).toDF(first, second)
