@@ -14,7 +14,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).pairs("doc_id_a", "doc_id_b")
+    """Pairs of documents with a stretch in common, also where thousands of texts share it."""
+    return _spans(spark, sf_dir).pairs("doc_id_a", "doc_id_b", whole=True)
 
 
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,11 +308,11 @@ class SharedSpans:
             self._parts = contexts.join(large, "name", "left_anti"), contexts.join(large, "name", "left_semi")
         return tuple(p.select("name", "key", "at", "left", "around") for p in self._parts)
 
-    def text_pairs(self) -> DataFrame:
-        """(a, b): keys of different texts that share a span."""
+    def text_pairs(self, whole: bool = False) -> DataFrame:
+        """(a, b): keys of different texts that share a span, those of crowds only with ``whole``."""
         small, large = self._split()
         s = _stretches(large, self.span).select("stretch", "key", "before").distinct()
-        crowds = self._crowds()
+        crowds = self._crowds().where(F.lit(not whole))
         few, many = s.join(crowds, "stretch", "left_anti"), s.join(crowds, "stretch")
         x, y = few.select("stretch", "key", "before").toDF("stretch", "a", "p"), few.select("stretch", "key", "before").toDF("stretch", "b", "q")
         head = (F.col("p") != F.col("q")) | (F.col("p") < 0)
@@ -330,16 +330,17 @@ class SharedSpans:
         found = _stretches(self._split()[1], self.span).join(self._crowds(), "stretch").select("key", "stretch").distinct()
         return self.members.join(found, "key").select("doc", F.col("stretch").alias("class_id")).distinct()
 
-    def pairs(self, first: str, second: str) -> DataFrame:
+    def pairs(self, first: str, second: str, whole: bool = False) -> DataFrame:
         """Pairs of records, the smaller id first, exact copies included.
 
         A class of more than EXPAND exact copies stands for itself by its smallest id and is
         linked to each of its copies; :meth:`copies` has its members. Where more than CROWD texts
-        have one stretch in common, each is linked to one of them; :meth:`crowds` has them all.
+        have one stretch in common, each is linked to one of them; :meth:`crowds` has them all. With
+        ``whole`` the different texts of crowds are paired too, quadratic in the largest.
         """
         few = F.col("copies") <= EXPAND
         member = self.members.join(self.classes, "key").where(few | (F.col("doc") == F.col("rep"))).select("key", "doc")
-        across = self.text_pairs().join(member.toDF("a", "x"), "a").join(member.toDF("b", "y"), "b").select("x", "y")
+        across = self.text_pairs(whole).join(member.toDF("a", "x"), "a").join(member.toDF("b", "y"), "b").select("x", "y")
         repeated = self.members.join(self.classes.where(F.col("copies") > 1), "key")
         star = repeated.where(~few & (F.col("doc") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("doc").alias("y"))
         small = repeated.where(few).select("key", "doc")

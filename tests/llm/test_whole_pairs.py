@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from steploom.llm import q_splitting
+from steploom.llm import q_spans, q_splitting, spans
 
 
 def test_p6_found_has_every_pair_of_a_large_component(spark, tmp_path):
@@ -13,3 +13,12 @@ def test_p6_found_has_every_pair_of_a_large_component(spark, tmp_path):
     rows.drop("question_id").write.parquet(f"{tmp_path}/trajectories.parquet")
     spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, proportion double").write.parquet(f"{tmp_path}/split_targets.parquet")
     assert {tuple(r) for r in q_splitting.p6_found(spark, str(tmp_path)).collect()} == set(combinations(ids, 2))
+
+
+def test_p9_found_has_every_pair_of_a_crowd(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spans, "PAIRWISE", 2)
+    monkeypatch.setattr(spans, "CROWD", 5)
+    header = "the same licence header of more than a hundred characters stands in front of each of these many files. "
+    rows = [(k, header + f"body {k} " * 5) for k in range(9)] + [(50, "x" + header[:101]), (51, "nothing in common with the others")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in q_spans.p9_found(spark, str(tmp_path)).collect()} == set(combinations([*range(9), 50], 2))
