@@ -1,22 +1,33 @@
-"""Recompression of texts: global names for runs and pairs of symbols, and what they anchor.
-
-A text starts as one symbol per code point. Rounds alternate between naming runs of equal symbols
-and naming pairs: every symbol is put left or right by a bit of its name, and each left symbol
-followed by a right one becomes one symbol. Names are hashes of what they stand for, hence the
-same in every task without a shared dictionary, and equal substrings get equal symbols except
-near their ends. Only symbols of at most the round's ``reach`` code points take part, so whether
-a boundary between symbols survives to a round depends on no more text than the sum of the reaches
-on either side of it.
+"""Recompression of texts: names for runs and pairs of symbols, and the chains of symbols they form.
+
+A text starts as one symbol per code point. A first round names runs of equal symbols; the rounds
+after it name pairs: every symbol is put left or right by a bit of its name, and each left symbol
+followed by a right one becomes one symbol. A name is the hash of its production (symbol and count,
+or left and right symbol), so it is the same in every task and round without a dictionary to be
+shuffled, and equal substrings get equal symbols except near their ends.
+
+Only symbols of at most the round's ``reach`` code points take part in it. Whether a boundary between
+symbols survives a round then depends on no more text than the sum of the reaches on either side, and
+no symbol exceeds twice the last reach. Runs longer than RUN stay single code points, so that the
+boundaries in them don't depend on where a run began.
+
+``MIDDLE`` rounds give short symbols (at most 4 code points) that are the same from EDGE code points
+inside an equal stretch on; chains of these are what is named and compared. The further rounds say
+which of their boundaries are high: from CONTEXT code points inside an equal stretch on, the level of
+a boundary is the same as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-# (kind, reach); the reaches add up to CONTEXT
-ROUNDS = (("run", 1), ("pair", 1), ("pair", 2), ("pair", 3), ("pair", 4), ("pair", 7), ("pair", 12))
-CONTEXT = sum(reach for _, reach in ROUNDS)
-TOP = len(ROUNDS) + 1
+RUN = 2
+# reaches of the pair rounds
+MIDDLE = (1, 2, 2)
+UPPER = (3, 4, 7, 9)
+EDGE = RUN + sum(MIDDLE)
+CONTEXT = EDGE + sum(UPPER)
+TOP = 1 + len(MIDDLE) + len(UPPER) + 1
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -48,66 +59,90 @@ class Powers:
                 setattr(self, name, np.cumprod(p))
 
 
+class Sequence:
+    """Names of any stretch of a sequence of symbols, by prefix sums."""
+
+    def __init__(self, symbols: np.ndarray, powers: Powers):
+        powers.reach(len(symbols))
+        self.powers = powers
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(77)) * powers.up[: len(symbols)], out=self.sums[1:])
+
+    def names(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """64-bit names of the symbols from ``low`` up to before ``high``."""
+        return mix((self.sums[high] - self.sums[low]) * self.powers.down[low])
+
+
 class Texts:
-    """Code points of several texts, a 0 behind each, with hashes of any substring."""
+    """Code points of several texts, a separator behind each."""
 
-    def __init__(self, texts: list[str], powers: Powers):
+    def __init__(self, texts: list[str]):
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.n = len(self.points)
         self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
-        powers.reach(self.n)
-        self.powers = powers
-        values = mix(self.points.astype(np.uint64) + np.uint64(77))
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * powers.up[: self.n], out=self.sums[1:])
-
-    def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        """64-bit names of the substrings of ``length`` that begin at ``at``."""
-        return mix((self.sums[at + length] - self.sums[at]) * self.powers.down[at])
+        self.ends = self.starts + self.lengths
 
 
-def levels(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The round in which the boundary before each code point goes; TOP for those that stay.
+class Symbols:
+    """The symbols of ``texts`` after all rounds.
 
-    ``ends`` are the positions of the separators, which never merge.
+    ``middle`` and ``names`` are starts and names of the symbols after the MIDDLE rounds, separators
+    included. ``level`` has for every code point the round in which the boundary before it goes, TOP
+    for those that stay; ``high`` and ``ties`` are starts that stay and the name of the two symbols
+    that meet there.
     """
-    n = len(points)
-    level = np.full(n, TOP, np.uint8)
-    start = np.arange(n, dtype=np.int32)
-    name = _mix32(points * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B))
-    fixed = np.zeros(n, bool)
-    fixed[ends] = True
-    for k, (kind, reach) in enumerate(ROUNDS, 1):
-        if k == 1:
-            small = ~fixed
-        else:
-            size = np.empty(len(start), np.int32)
-            np.subtract(start[1:], start[:-1], out=size[:-1])
-            size[-1] = n - start[-1]
-            small = (size <= reach) & ~fixed
-        if kind == "run":
-            joined = (name[1:] == name[:-1]) & small[1:] & small[:-1]
-        else:
-            side = ((name * np.uint32(0x2C1B3C6D + 2 * k)) >> np.uint32(31)).astype(bool)
-            joined = (side & small)[:-1] & (small & ~side)[1:]
-        gone = np.flatnonzero(joined) + 1
-        if not len(gone):
-            continue
-        level[start[gone]] = k
+
+    def __init__(self, texts: Texts, powers: Powers):
+        points, n = texts.points, len(texts.points)
+        self.level = np.full(n, TOP, np.uint8)
+        name = _mix32(points * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B))
+        single = np.zeros(n, bool)  # symbols that take part in no round: separators, and code points of long runs
+        single[texts.ends] = True
+        start, name, single = self._runs(name, single)
+        for k, reach in enumerate((*MIDDLE, *UPPER), 2):
+            start, name, single = self._pairs(start, name, single, k, reach)
+            if k == 1 + len(MIDDLE):
+                self.middle, self.names = start, name
+        self.high = start[1:]
+        self.ties = mix(name[:-1].astype(np.uint64) << np.uint64(32) | name[1:])
+        self.chains = Sequence(self.names, powers)
+
+    def _runs(self, name: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = len(name)
+        begins = np.ones(n, bool)
+        begins[1:] = (name[1:] != name[:-1]) | single[1:] | single[:-1]
+        first = np.flatnonzero(begins)
+        count = np.diff(np.append(first, n))
+        whole = np.repeat(count > RUN, count)
+        keep = begins | whole
+        self.level[~keep] = 1
+        single |= whole
+        pairs = first[(count > 1) & (count <= RUN)]
+        name[pairs] = _mix32(name[pairs] * np.uint32(0x01000193) ^ count[(count > 1) & (count <= RUN)].astype(np.uint32))
+        start = np.flatnonzero(keep).astype(np.int32)
+        return start, name[start], single[start]
+
+    def _pairs(self, start: np.ndarray, name: np.ndarray, single: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, ...]:
+        size = np.empty(len(start), np.int32)
+        np.subtract(start[1:], start[:-1], out=size[:-1])
+        size[-1] = len(self.level) - start[-1]
+        small = (size <= reach) & ~single
+        left = ((name * np.uint32(0x2C1B3C6D + 2 * k)) >> np.uint32(31)).astype(bool)
+        gone = np.flatnonzero((left & small)[:-1] & (small & ~left)[1:]) + 1
+        self.level[start[gone]] = k
         keep = np.ones(len(start), bool)
         keep[gone] = False
-        if kind == "run":
-            first = np.flatnonzero(keep)
-            count = np.diff(np.append(first, len(start))).astype(np.uint32)
-            name = name[first]
-            many = np.flatnonzero(count > 1)
-            name[many] = _mix32(name[many] * np.uint32(0x01000193) ^ count[many])
-        else:
-            name[gone - 1] = _mix32(name[gone - 1] * np.uint32(0x85EBCA77) + name[gone] + np.uint32(k))
-            name = name[keep]
-        start, fixed = start[keep], fixed[keep]
-    return level
+        name[gone - 1] = _mix32(name[gone - 1] * np.uint32(0x85EBCA77) + name[gone] + np.uint32(k))
+        return start[keep], name[keep], single[keep]
+
+    def chain(self, at: np.ndarray, left: int, right: int) -> np.ndarray:
+        """Names of the whole symbols from ``left`` before to ``right`` behind the boundaries ``at``.
+
+        The number of symbols before ``at`` is part of the name, so that equal names are aligned.
+        """
+        low, here = np.searchsorted(self.middle, at - left), np.searchsorted(self.middle, at)
+        high = np.searchsorted(self.middle, at + right, side="right") - 1
+        return mix(self.chains.names(low, high) + (here - low).astype(np.uint64))
 
 
 def _slide(values: np.ndarray, width: int, best, backwards: bool) -> np.ndarray:
@@ -121,27 +156,22 @@ def _slide(values: np.ndarray, width: int, best, backwards: bool) -> np.ndarray:
     return out[::-1] if backwards else out
 
 
-def anchors(texts: Texts, span: int) -> np.ndarray:
-    """Positions from which every stretch of ``span`` code points is seen.
+def anchors(texts: Texts, symbols: Symbols, span: int) -> np.ndarray:
+    """Boundaries of symbols of which every stretch of ``span`` code points contains one.
 
-    Of the ``span - 2 * CONTEXT + 1`` boundaries that lie at least CONTEXT from both ends of a
-    stretch, the one of the highest level is its anchor (ties: by the name of the 8 code points
-    around, then all of them). Its choice depends on the stretch alone, so two texts that share
-    the stretch share the anchor.
+    Of the boundaries that lie at least CONTEXT from both ends of a stretch, the one of the highest
+    level is its anchor (ties: by the name of the symbols that meet there, then all of them). Its
+    choice depends on the stretch alone, so two texts that share the stretch share the anchor.
     """
-    width = span - 2 * CONTEXT + 1
-    ends = texts.starts + texts.lengths
-    level = levels(texts.points, ends)
-    key = (np.uint64(TOP) - level.astype(np.uint64)) << np.uint64(56)
-    top = np.flatnonzero((level == TOP))
-    top = top[(top >= 4) & (top + 4 <= texts.n)]
-    key[top] = texts.names(top - 4, 8) >> np.uint64(8) | np.uint64(1)  # never 0, which marks "no stretch"
-    lowest = _slide(key, width, np.minimum, False)
-    usable = np.zeros(texts.n, bool)
+    n = len(texts.points)
+    key = (np.uint64(TOP) - symbols.level.astype(np.uint64)) << np.uint64(56)
+    key[symbols.high] = symbols.ties >> np.uint64(8) | np.uint64(1)  # never 0, which marks "no stretch"
+    lowest = _slide(key, span - 2 * CONTEXT + 1, np.minimum, False)
+    usable = np.zeros(n, bool)
     # first boundaries of the stretches, text by text
     counts = np.maximum(texts.lengths - span + 1, 0)
     first = np.repeat(texts.starts + CONTEXT - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     usable[first] = True
     lowest[~usable] = 0
-    reached = _slide(lowest, width, np.maximum, True)
+    reached = _slide(lowest, span - 2 * CONTEXT + 1, np.maximum, True)
     return np.flatnonzero((key == reached) & (reached > 0))

@@ -1,15 +1,17 @@
 """Spans of at least ``span`` code points that stand word for word in more than one text.
 
 1. Every distinct text is recompressed (:mod:`steploom.llm.recompress`). Each stretch of ``span``
-   code points has an anchor, a boundary of the highest level inside it, and the symbol of
-   2 * CONTEXT code points around the anchor lies within the stretch. Two texts that share a
-   stretch therefore share the name of such a symbol at the same place in it.
-2. Names that occur in one text only are dropped. Tasks compare within their own rows first, so
-   a name that fills a third of the rows reaches its bucket once a task; the rest goes straight on.
-3. What is left is read again with the text to both sides. Within a class of equal names the
-   texts are compared code point by code point, and only matches of ``span`` or more count. A
-   class too large for pairwise comparison is split by the names of all its full stretches
-   instead, and joined on these.
+   code points has an anchor, a boundary of the highest level inside it, and the chain of symbols
+   to both sides of the anchor is the same wherever the stretch occurs.
+2. A Spark round names the chains of all anchors globally and drops those that one text alone has.
+   Tasks compare within their own rows first, so a name that fills a third of the rows reaches its
+   bucket once a task; the rest goes straight on.
+3. A second Spark round names the survivors' wider chains, one for each of the PARTS in which a
+   stretch may lie around its anchor, three quarters of the stretch long. Again only names that
+   several texts have go on.
+4. Within a class of equal names the texts are compared code point by code point, and only matches
+   of ``span`` or more count. A class too large for pairwise comparison is split by the names of
+   its full stretches instead, and joined on these.
 
 A match is reported at its first anchor (or, in large classes, its first stretch), so long matches
 don't multiply.
@@ -17,6 +19,7 @@ don't multiply.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steploom.llm.recompress import CONTEXT, Powers, Texts, anchors
+from steploom.llm.recompress import CONTEXT, EDGE, Powers, Sequence, Symbols, Texts, anchors, mix
 from steploom.plans.storage import store
 
 SPAN = 100
 CHUNK_POINTS = 1 << 20
 BLOCK_ROWS = 1 << 20
+BUCKET_POINTS = 1 << 24  # code points of text a bucket of names, some 12 MB of rows
+PARTS = 4  # places that are told apart in which a stretch may lie around its anchor
 PAIRWISE = 64  # classes up to this size are compared pair by pair, larger ones by their stretches
 EXPAND = 64  # classes of exact copies up to this size are written out pair by pair
 CROWD = 4096  # texts with one stretch in common up to which all their pairs are written out
@@ -71,8 +76,14 @@ def _unblock(data: bytes) -> tuple[np.ndarray, ...]:
     )
 
 
+def places(span: int) -> list[tuple[int, int]]:
+    """(least, most) code points of a stretch before its anchor, for each of PARTS parts."""
+    cuts = [CONTEXT + (span - 2 * CONTEXT + 1) * k // PARTS for k in range(PARTS + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
-    """(name, key, at) of the anchored symbols of ``texts`` (key, text) that more than one key has."""
+    """(key, at) of the anchors of ``texts`` (key, text) whose chain more than one key has."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -83,10 +94,11 @@ def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
         keys: list[int] = []
 
         def symbols() -> int:
-            block = Texts(some, powers)
-            p = anchors(block, span)
+            block = Texts(some)
+            parsed = Symbols(block, powers)
+            p = anchors(block, parsed, span)
             text = np.searchsorted(block.starts, p, side="right") - 1
-            held.append((block.names(p - CONTEXT, 2 * CONTEXT), np.array(keys, np.int64)[text], p - block.starts[text]))
+            held.append((parsed.chain(p, CONTEXT - EDGE, CONTEXT - EDGE), np.array(keys, np.int64)[text], p - block.starts[text]))
             some.clear()
             keys.clear()
             return len(p)
@@ -117,17 +129,21 @@ def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
             yield flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        bucket, parts = None, []
         for batch in batches:
-            for block in batch.column(1):
+            for mark, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if mark != bucket:
+                    yield from settle(parts)
+                    bucket, parts = mark, []
                 name, key, at, kind = _unblock(block.as_buffer())
                 on = kind == PASS
                 if on.any():
-                    yield _symbols(name[on], key[on], at[on])
+                    yield _symbols(key[on], at[on])
                 parts.append(tuple(x[~on] for x in (name, key, at, kind)))
-        if not parts:
-            return
-        name, key, at, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield from settle(parts)
+
+    def settle(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        name, key, at, kind = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 4
         if not len(name):
             return
         order = np.argsort(name, kind="stable")
@@ -136,50 +152,65 @@ def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
         shared = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | (np.maximum.reduceat(kind, first) == EVIDENCE)
         on = np.repeat(shared, np.diff(np.append(first, len(name)))) & (kind == DECIDE)
         if on.any():
-            yield _symbols(name[on], key[on], at[on])
+            yield _symbols(key[on], at[on])
 
-    def _symbols(name: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key), pa.array(at)], ["name", "key", "at"])
+    def _symbols(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(at)], ["key", "at"])
 
-    blocks = texts.mapInArrow(find, "bucket int, block binary").repartition("bucket")
-    return blocks.mapInArrow(decide, "name long, key long, at int")
+    blocks = texts.mapInArrow(find, "bucket int, block binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(decide, "key long, at int")
 
 
 def _contexts(found: DataFrame, span: int) -> DataFrame:
-    """(name, key, at, left, around): each symbol with the text that a stretch around it may take."""
-    margin = span - 2 * CONTEXT
+    """(key, at, left, around, names): each anchor with the text a stretch around it may take.
+
+    ``left`` is the anchor's place in ``around``; ``names`` has the name of the wider chain for each
+    part, null where the text leaves no room for a stretch.
+    """
+    reach = span - CONTEXT + 1
+    parts = places(span)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             out: list[tuple] = []
-            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for symbol in found.as_py():
-                    at = symbol["at"]
-                    begin = max(0, at - CONTEXT - margin - 1)
-                    out.append((symbol["name"], key, at, at - CONTEXT - begin, text[begin : at + CONTEXT + margin]))
+            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for at in found:
+                    begin = max(0, at - reach)
+                    out.append((key, at, at - begin, text[begin : at + reach]))
                 if len(out) > 20_000:
-                    yield _rows(out)
+                    yield _rows(out, powers)
                     out = []
             if out:
-                yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        name, key, at, left, around = zip(*out, strict=True)
-        arrays = [pa.array(name, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.int32()), pa.array(around, pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, ["name", "key", "at", "left", "around"])
-
-    return found.mapInArrow(cut, "name long, key long, at int, left int, around string")
-
-
-def _matrix(left: np.ndarray, around: list[str], margin: int) -> np.ndarray:
-    """The contexts as rows of code points, symbols aligned; beyond a text's ends -1."""
-    width = 2 * CONTEXT + 2 * margin + 1
+                yield _rows(out, powers)
+
+    def _rows(out: list[tuple], powers: Powers) -> pa.RecordBatch:
+        key, at, left, around = zip(*out, strict=True)
+        block = Texts(list(around))
+        parsed = Symbols(block, powers)
+        place = np.array(left, np.int64)
+        p = block.starts + place
+        names = np.empty((len(out), len(parts)), np.uint64)
+        room = np.empty((len(out), len(parts)), bool)
+        for k, (least, most) in enumerate(parts):
+            room[:, k] = (place >= least) & (block.lengths - place >= span - most)
+            on = room[:, k]
+            names[on, k] = mix(parsed.chain(p[on], least - EDGE, span - most - EDGE) + np.uint64(k))
+        flat = pa.array(names.view(np.int64).ravel(), mask=~room.ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(parts)), flat)
+        arrays = [pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.int32()), pa.array(around, pa.string()), lists]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "at", "left", "around", "names"])
+
+    return found.mapInArrow(cut, "key long, at int, left int, around string, names array<long>")
+
+
+def _matrix(left: np.ndarray, around: list[str], reach: int) -> np.ndarray:
+    """The contexts as rows of code points, anchors aligned; beyond a text's ends -1."""
     lengths = np.fromiter(map(len, around), np.int64, len(around))
     points = np.frombuffer("".join(around).encode("utf-32-le", "surrogatepass"), np.int32)
-    out = np.full((len(around), width), -1, np.int32)
-    shift = margin + 1 - left.astype(np.int64)
+    out = np.full((len(around), 2 * reach), -1, np.int32)
     row = np.repeat(np.arange(len(around)), lengths)
-    column = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(shift, lengths)
+    column = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(reach - left.astype(np.int64), lengths)
     out[row, column] = points
     return out
 
@@ -198,8 +229,8 @@ def _triangle(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compared(contexts: DataFrame, span: int, intervals: bool) -> DataFrame:
     """Matches in small classes: pairs of keys, or the matched interval of each key."""
-    margin = span - 2 * CONTEXT
-    core = margin + 1
+    reach = span - CONTEXT + 1
+    parts = np.array(places(span))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,32 +250,33 @@ def _compared(contexts: DataFrame, span: int, intervals: bool) -> DataFrame:
             yield from match(pa.Table.from_batches(held))
 
     def match(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        names, keys, at = (np.asarray(table[c]) for c in ("name", "key", "at"))
-        grid = _matrix(np.asarray(table["left"]), table["around"].to_pylist(), margin)
+        names, keys, at, part = (np.asarray(table[c]) for c in ("name", "key", "at", "part"))
+        grid = _matrix(np.asarray(table["left"]), table["around"].to_pylist(), reach)
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         i, j = _triangle(np.diff(np.append(first, len(names))))
         on = keys[i] != keys[j]
         i, j = i[on], j[on]
-        low = at.astype(np.int64) + CONTEXT
-        high = np.zeros(len(keys), np.int64)
+        low = at.astype(np.int64) + span
+        high = np.full(len(keys), -1, np.int64)
         for k in range(0, len(i), 50_000):
             x, y = i[k : k + 50_000], j[k : k + 50_000]
+            least, most = parts[part[x]].T
             same = (grid[x] == grid[y]) & (grid[x] >= 0)
-            whole = same[:, core : core + 2 * CONTEXT].all(1)  # names are hashes; the text decides
-            back = np.cumprod(same[:, core - 1 :: -1] if core else same[:, :0], axis=1, dtype=np.int8).sum(1)
-            ahead = np.cumprod(same[:, core + 2 * CONTEXT :], axis=1, dtype=np.int8).sum(1)
-            good = whole & (np.minimum(back, margin) + ahead >= margin)
+            back = np.cumprod(same[:, reach - 1 :: -1], axis=1, dtype=np.int8).sum(1)
+            ahead = np.cumprod(same[:, reach:], axis=1, dtype=np.int8).sum(1)
+            good = np.maximum(least, span - ahead) <= np.minimum(most, back)  # names are hashes; the text decides
             if intervals:
-                x, y, back, ahead = x[good], y[good], np.minimum(back[good], margin), ahead[good]
+                x, y, back, ahead = x[good], y[good], np.minimum(back, most)[good], np.minimum(ahead, span - least)[good]
                 for z in (x, y):
-                    np.minimum.at(low, z, at[z] - CONTEXT - back)
-                    np.maximum.at(high, z, at[z] + CONTEXT + ahead)
+                    np.minimum.at(low, z, at[z] - back)
+                    np.maximum.at(high, z, at[z] + ahead)
             else:
-                x, y = x[good & (back <= margin)], y[good & (back <= margin)]
+                good &= back <= most  # else an earlier anchor, or another part, reports the match
+                x, y = x[good], y[good]
                 if len(x):
                     pair = np.unique(np.stack([np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y])]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-        if intervals and (on := high > 0).any():
+        if intervals and (on := high >= 0).any():
             yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(low[on]), pa.array(high[on])], ["key", "low", "high"])
 
     rows = contexts.repartition("name").sortWithinPartitions("name")
@@ -252,25 +284,28 @@ def _compared(contexts: DataFrame, span: int, intervals: bool) -> DataFrame:
 
 
 def _stretches(contexts: DataFrame, span: int) -> DataFrame:
-    """(stretch, key, begin, before): every full stretch around the symbols of large classes."""
-    margin = span - 2 * CONTEXT
+    """(stretch, key, begin, before): every full stretch around the anchors of large classes."""
+    parts = np.array(places(span))
+    width = int((parts[:, 1] - parts[:, 0]).max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                key, at, left = (np.asarray(part.column(c)).astype(np.int64) for c in (1, 2, 3))
-                block = Texts(part.column(4).to_pylist(), powers)
-                offsets = np.arange(margin + 1)
-                begin = left[:, None] - offsets
-                ok = (begin >= 0) & (begin + span <= block.lengths[:, None])
-                row = np.repeat(np.arange(len(key)), margin + 1).reshape(ok.shape)[ok]
+                key, at, left, which = (np.asarray(part.column(part.schema.get_field_index(c))).astype(np.int64) for c in ("key", "at", "left", "part"))
+                block = Texts(part.column(part.schema.get_field_index("around")).to_pylist())
+                every = Sequence(block.points, powers)
+                least, most = parts[which].T
+                before = least[:, None] + np.arange(width)
+                begin = left[:, None] - before
+                ok = (before <= most[:, None]) & (begin >= 0) & (begin + span <= block.lengths[:, None])
+                row = np.nonzero(ok)[0]
                 begin = begin[ok]
                 place = block.starts[row] + begin
-                doc_begin = at[row] - CONTEXT - (left[row] - begin)
-                before = np.where(doc_begin > 0, block.points[np.maximum(place - 1, 0)].astype(np.int64), -1)
-                arrays = [pa.array(block.names(place, span).view(np.int64)), pa.array(key[row]), pa.array(doc_begin), pa.array(before)]
+                doc_begin = at[row] - (left[row] - begin)
+                ahead_of = np.where(doc_begin > 0, block.points[np.maximum(place - 1, 0)].astype(np.int64), -1)
+                arrays = [pa.array(every.names(place, place + span).view(np.int64)), pa.array(key[row]), pa.array(doc_begin), pa.array(ahead_of)]
                 yield pa.RecordBatch.from_arrays(arrays, ["stretch", "key", "begin", "before"])
 
     return contexts.mapInArrow(run, "stretch long, key long, begin long, before long")
@@ -282,31 +317,37 @@ class SharedSpans:
     def __init__(self, df: DataFrame, doc: str, text: str, span: int = SPAN, buckets: int | None = None):
         """``doc`` names a record (rows with a null id or text are left out; they share nothing).
 
-        ``span`` must exceed 2 * CONTEXT. Lengths are counted in Unicode code points, and
+        ``span`` must be at least 2 * CONTEXT + PARTS. Lengths are counted in Unicode code points, and
         equality is exact: no folding of case, width or white space.
         """
-        if span <= 2 * CONTEXT:
-            raise ValueError(f"a span of at least {2 * CONTEXT + 1} code points is needed")
+        if span < 2 * CONTEXT + PARTS:
+            raise ValueError(f"a span of at least {2 * CONTEXT + PARTS} code points is needed")
         self.span = span
         rows = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
         self.rows = rows.where(F.col("doc").isNotNull() & (F.length("text") >= span)).withColumn("key", F.xxhash64("text"))
-        self.buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self._buckets = buckets
         members = self.rows.select("key", "doc").distinct()
         self.members = members
         self.classes = members.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
         self._parts: tuple[DataFrame, DataFrame] | None = None
 
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        """Contexts of the small and of the large classes."""
+        """Contexts of the small and of the large classes, once for each part whose name is shared."""
         if self._parts is None:
-            symbols = shared_symbols(self.rows.select("key", "text"), self.span, self.buckets)
-            by_text = symbols.groupBy("key").agg(F.collect_list(F.struct("name", "at")).alias("found"))
+            if self._buckets is None:
+                points = self.rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+                self._buckets = max(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(points / BUCKET_POINTS))
+            symbols = shared_symbols(self.rows.select("key", "text"), self.span, self._buckets)
+            by_text = symbols.groupBy("key").agg(F.collect_list("at").alias("found"))
             by_text = by_text.join(self.classes.select("key", F.col("rep").alias("doc")), "key")
             found = by_text.join(self.rows, ["key", "doc"]).select("key", "text", "found")
             contexts = store(_contexts(found, self.span), "contexts")
-            large = contexts.groupBy("name").count().where(F.col("count") > PAIRWISE).select("name")
-            self._parts = contexts.join(large, "name", "left_anti"), contexts.join(large, "name", "left_semi")
-        return tuple(p.select("name", "key", "at", "left", "around") for p in self._parts)
+            named = contexts.select("key", "at", F.posexplode("names").alias("part", "name")).where("name is not null")
+            sizes = named.groupBy("name").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+            shared = store(named.join(sizes.where("lo <> hi").select("name", "n"), "name"), "shared-names")
+            rows = contexts.drop("names").join(shared, ["key", "at"]).select("name", "key", "at", "part", "left", "around", "n")
+            self._parts = rows.where(F.col("n") <= PAIRWISE).drop("n"), rows.where(F.col("n") > PAIRWISE).drop("n")
+        return self._parts
 
     def text_pairs(self, whole: bool = False) -> DataFrame:
         """(a, b): keys of different texts that share a span, those of crowds only with ``whole``."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import steploom.llm.spans as spans
-from steploom.llm.recompress import CONTEXT, Powers, Texts, anchors
+from steploom.llm.recompress import CONTEXT, EDGE, Powers, Sequence, Symbols, Texts, anchors
 from steploom.llm.spans import SharedSpans
 
 
@@ -77,22 +77,44 @@ def test_empty(spark):
     assert SharedSpans(df, "d", "t").pairs("a", "b").count() == 0
 
 
-def test_every_stretch_has_a_shared_anchor():
+def named_anchors(text):
+    block, powers = Texts([text]), Powers()
+    parsed = Symbols(block, powers)
+    p = anchors(block, parsed, 100)
+    names = [parsed.chain(p, CONTEXT - EDGE, CONTEXT - EDGE)]
+    for least, most in spans.places(100):
+        names.append(np.where((p >= least) & (len(text) - p >= 100 - most), parsed.chain(np.clip(p, least, max(least, len(text) - 100 + most)), least - EDGE, 100 - most - EDGE), 0))
+    return dict(zip(p.tolist(), zip(*(n.tolist() for n in names), strict=True), strict=True)), parsed
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "x", "xxxxxxxxxxxxxxxxxxxxxxy", "aab"])
+def test_every_stretch_has_a_shared_anchor_of_one_name(alphabet):
     rng = random.Random(3)
-    for alphabet in ("ab", "abcdefgh ", "x"):
-        for _ in range(60):
-            core = "".join(rng.choice(alphabet) for _ in range(100))
-            texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) + core + "".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(2)]
-            found = []
-            for t in texts:
-                p = anchors(Texts([t], Powers()), 100)
-                at = t.index(core)
-                inside = p[(p - CONTEXT >= at) & (p + CONTEXT <= at + 100)] - at
-                found.append(set(inside.tolist()))
-            assert found[0] & found[1]
-
-
-def test_substring_names_do_not_depend_on_place():
-    t = Texts(["abcabc", "xxabc"], Powers())
-    names = t.names(np.array([0, 3, 9]), 3)
+    some = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for _ in range(60):
+        core = some(100)
+        texts = [some(rng.randrange(80)) + core + some(rng.randrange(80)) for _ in range(2)]
+        found = []
+        for t in texts:
+            at = t.index(core)
+            names, _ = named_anchors(t)
+            inside = {}
+            for p, n in names.items():
+                if CONTEXT <= p - at <= 100 - CONTEXT:
+                    part = next(k for k, (least, most) in enumerate(spans.places(100)) if least <= p - at <= most)
+                    inside[p - at] = (n[0], n[1 + part])
+            found.append(inside)
+        assert set(found[0].items()) & set(found[1].items())
+
+
+def test_levels_make_symbols_and_anchors_rare():
+    text = corpus(9)[0][1] + " ".join(f"the {k * 7919 % 1000} houses of number {k * k % 911}" for k in range(400))
+    names, parsed = named_anchors(text)
+    assert len(parsed.middle) < 0.6 * len(text) and len(parsed.high) < 0.3 * len(text) and len(names) < 0.06 * len(text)
+    assert np.diff(parsed.middle).max() <= 4
+
+
+def test_names_do_not_depend_on_place():
+    s = Sequence(np.array([1, 2, 3, 1, 2, 3, 9, 1, 2, 3], np.uint32), Powers())
+    names = s.names(np.array([0, 3, 7]), np.array([3, 6, 10]))
     assert names[0] == names[1] == names[2]
