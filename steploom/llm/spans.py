@@ -129,23 +129,17 @@ def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
             yield flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts = None, []
+        parts = []
         for batch in batches:
-            for mark, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if mark != bucket:
-                    yield from settle(parts)
-                    bucket, parts = mark, []
+            for block in batch.column(1):
                 name, key, at, kind = _unblock(block.as_buffer())
                 on = kind == PASS
                 if on.any():
                     yield _symbols(key[on], at[on])
                 parts.append(tuple(x[~on] for x in (name, key, at, kind)))
-        yield from settle(parts)
-
-    def settle(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        name, key, at, kind = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 4
-        if not len(name):
+        if not any(len(p[0]) for p in parts):
             return
+        name, key, at, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(name, kind="stable")
         name, key, at, kind = name[order], key[order], at[order], kind[order]
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
@@ -157,7 +151,7 @@ def shared_symbols(texts: DataFrame, span: int, buckets: int) -> DataFrame:
     def _symbols(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(at)], ["key", "at"])
 
-    blocks = texts.mapInArrow(find, "bucket int, block binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blocks = texts.mapInArrow(find, "bucket int, block binary").repartitionById(buckets, "bucket")
     return blocks.mapInArrow(decide, "key long, at int")
 
 

@@ -1,5 +1,6 @@
 """Top N items of every group by a sorted-run, loser-tree merge.
 
+The number of buckets follows the size of the input, so a bucket is bounded and is merged by itself.
 Every input partition is cut into bounded runs. A run is sorted by (group, score descending,
 item ascending), stripped of repeats of an item within a group and of every row beyond the
 N-th of its group (such a row can't be among the N best overall), and stored as one columnar
@@ -11,6 +12,7 @@ rest of that group by binary search, so a group of millions costs a merge of N r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_ROWS = 400_000
+OUT_ROWS = 50_000
+BUCKET_BYTES = 1 << 25  # bytes of input a bucket, by the plan's own estimate
+UNKNOWN_BYTES = 1 << 60  # from here on the plan has no estimate, and rows are counted
+ROW_BYTES = 64
 
 
 class LoserTree:
@@ -122,7 +128,11 @@ def top_n_per_group(
     empty input gives no rows.
     """
     spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if estimate >= UNKNOWN_BYTES:
+            estimate = ROW_BYTES * df.count()
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimate // BUCKET_BYTES))
     value = F.col(f"`{score}`").cast("double") + F.lit(0.0)
     rows = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{item}`").cast("string").alias("i"), value.alias("s"))
     rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
@@ -157,20 +167,16 @@ def top_n_per_group(
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list] = {}
-        for batch in batches:
-            for bucket, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                runs.setdefault(bucket, []).append(run.as_buffer())
-        for bucket in sorted(runs):
-            tables = [pa.ipc.open_stream(run).read_all() for run in runs.pop(bucket)]
-            out = list(merge_runs([tuple(t[c].to_pylist() for c in ("g", "s", "i")) for t in tables], n))
-            if out:
-                g, i, s, k = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g, pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64()), pa.array(k, pa.int32())],
-                    ["g", "i", "s", "k"],
-                )
-
-    stored = rows.mapInArrow(build, "bucket int, run binary").repartition("bucket")
+        runs = [run.as_buffer() for batch in batches for run in batch.column(1)]
+        tables = [pa.ipc.open_stream(run).read_all() for run in runs]
+        merged = merge_runs([tuple(t[c].to_pylist() for c in ("g", "s", "i")) for t in tables], n)
+        while out := list(islice(merged, OUT_ROWS)):
+            g, i, s, k = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g, pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64()), pa.array(k, pa.int32())],
+                ["g", "i", "s", "k"],
+            )
+
+    stored = rows.mapInArrow(build, "bucket int, run binary").repartitionById(buckets, "bucket")
     best = stored.mapInArrow(merge, "g string, i string, s double, k int")
     return best.toDF(group, item, score, "rank")
