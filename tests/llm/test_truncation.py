@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from steploom.llm.truncation import Truncation, find_limits, fit_censored
+from steploom.llm.truncation import Truncation, before_cut, combine, find_limits, fit_censored, odds_of
 
 
 def test_censored_fit_recovers_the_distribution():
@@ -22,10 +23,26 @@ def test_limits_need_unfinished_endings():
     cut = x > 200
     lengths, place = np.unique(np.minimum(x, 200), return_inverse=True)
     counts, unfinished = np.bincount(place).astype(float), np.bincount(place, cut).astype(float)
-    assert [f[:2] for f in find_limits(lengths, lengths, counts, unfinished)] in ([("bytes", 200)], [("chars", 200)])
+    found = find_limits(lengths, lengths, counts, unfinished)
+    assert {f[:2] for f in found} in ({("bytes", 200)}, {("chars", 200)}) and dict((f[2], f[3]) for f in found)[200] > 0.9
     assert find_limits(lengths, lengths, counts, 0 * unfinished) == []
 
 
+def test_length_and_ending_outweigh_each_other():
+    plain = odds_of({"closed": 3000.0, "open5": 100.0})
+    assert combine(None, plain["quote"]) > 0.9 and combine(None, plain["closed"]) < 0.01
+    assert combine(None, plain["open17"]) < 0.5 < combine(0.99, plain["open17"])  # what the ending leaves open, the length decides
+    assert combine(0.001, plain["quote"]) < 0.5  # a length that complete texts have
+    quoting = odds_of({"closed": 100.0, "quote.": 900.0})
+    assert combine(None, quoting["quote"]) < 0.5 < combine(0.99, quoting["quote"])  # where odd quotes are usual they are no sign
+
+
+def test_markers_are_not_part_of_the_length(spark):
+    rows = [("the word [truncated]",), ("the word...",), ("the wor�",), ("the word.",), ("the [word]",)]
+    df = spark.createDataFrame(rows, "t string").select(before_cut(F.col("t")).alias("k"))
+    assert [r.k for r in df.collect()] == ["the word", "the word", "the wor", "the word.", "the [word]"]
+
+
 SENTENCES = ["The query for {0} returns {1} hits on chess instead of {2}.", "It contradicts step {1}, where {0} had been ruled out for {2}.", "Uses the late record of {0} well: it links {2} to the answer.", "Fire took the roof of {0} in {1}; {2} paid for a new one!"]
 
 
