@@ -3,17 +3,17 @@
 Questions and answers are normalised, and records that agree then form a class with one
 representative. A representative's fingerprint has 128 bits: each is the sign of a weighted sum
 over the character trigrams of the question's words, words that very many questions use counting
-little. Records to be joined must also have the same answer up to typing; the different answers are
-paired first, by keys of which such answers share one, and the fingerprint is joined in segments within
-an answer and those paired with it: 16 blocks of 8 bits, of which one must agree. Where an answer
-is so frequent that 8 bits divide too little, the digits of the questions, which no true pair differs
-in, divide further. Up to 15 differing bits can't be missed; beyond that a pair needs a block without a
-difference. Pairs within the Hamming radius are verified on their words.
+little. Records to be joined must also have the same answer up to typing and the same digits in the
+question; the different answers are paired first, by keys of which such answers share one. Only
+representatives that have a partner in both then get a fingerprint. It is joined in 8-bit blocks of
+TABLES permutations of its bits, of which one block must agree: up to 15 differing bits can't be
+missed, and of pairs at the radius four in five are met. Pairs within the Hamming radius are verified on
+their words: words may differ by a slip of typing, but not where both are words that the corpus knows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -21,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steploom.plans.storage import store
 
 BITS, BLOCKS = 128, 16
+TABLES = 2  # permutations of the bits that blocks are taken from
 RADIUS = 40
+KNOWN = 3  # questions from which on a word counts as one of its own, no slip of another
 COMMON = 0.005  # share of the records from which on a word counts little
 COMMON_WEIGHT = 0.4
-HEAVY = 1024  # representatives with one answer from which on buckets are divided by the questions' digits
 EXPAND = 64
 
 # Words whose presence changes nothing that is asked (articles, copulas, which/what,
@@ -43,10 +45,15 @@ FILLERS = frozenset(
 )
 ARTICLES = frozenset("the a an el la los las un una le les une der die das ein eine".split())
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_GROUPED = re.compile(r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))")
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words without accents; digits grouped by commas are one word."""
+    if text and text.isascii():
+        text = text.lower()
+        return _ASCII_WORD.findall(_GROUPED.sub("", text) if "," in text else text)
     text = regex.sub(r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "", text or "")
     flat = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
     return _WORD.findall(flat)
@@ -87,28 +94,48 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def typed_alike(a: str, b: str) -> bool:
-    """One word up to a slip of typing; two in long ones. Numbers must be equal."""
+    """One word up to a slip of typing; two in long ones. Numbers must be equal.
+
+    Words of up to four letters have many neighbours, so there only a swap and a letter left out or
+    typed twice are slips, and with less than three letters only a swap.
+    """
     if a == b:
         return True
     short = min(len(a), len(b))
-    most = 2 if short >= 8 else 1 if short >= 3 or sorted(a) == sorted(b) else 0
-    if not most or abs(len(a) - len(b)) > most or any(map(str.isnumeric, a + b)):
+    most = 2 if short >= 8 else 1
+    if abs(len(a) - len(b)) > most or any(map(str.isnumeric, a + b)):
         return False
-    return edits(a, b, most) <= most
+    if short <= 4 and len(a) == len(b):
+        return sorted(a) == sorted(b) and edits(a, b, 1) <= 1
+    return short >= 3 and edits(a, b, most) <= most
+
 
+def slips(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
+    """The words that must be slips of each other if two questions are the same; None if they can't be.
 
-def same_question(a: list[str], b: list[str]) -> bool:
-    """The same words in any order, up to typing, fillers and words run together or apart."""
+    The same are questions of the same words in any order, up to typing, fillers and words run
+    together or apart.
+    """
     x, y = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    found = []
     for word in list(x):
         match = next((other for other in y if typed_alike(word, other)), None)
         if match is not None:
             x.remove(word)
             y.remove(match)
+            found.append((word, match))
     if "".join(x) == "".join(y):
-        return True
+        return found
     # the longest first: what is left of different questions is mostly a name, and no filler is as long
-    return all(any(typed_alike(w, f) for f in _FLAT_FILLERS if len(f) > 2) for w in sorted(x + y, key=len, reverse=True))
+    if all(any(typed_alike(w, f) for f in _FLAT_FILLERS if len(f) > 2) for w in sorted(x + y, key=len, reverse=True)):
+        return found
+    return None
+
+
+def same_question(a: list[str], b: list[str], known: frozenset[str] = frozenset()) -> bool:
+    """Whether :func:`slips` are possible and none has a known word on both sides."""
+    found = slips(a, b)
+    return found is not None and not any(p in known and q in known for p, q in found)
 
 
 def same_answer(a: str, b: str) -> bool:
@@ -137,17 +164,20 @@ def _variants(word: str) -> set[str]:
     return out
 
 
-def answer_keys(answer: str) -> list[str]:
-    """Keys of which any two answers that :func:`same_answer` accepts share one."""
+def answer_keys(answer: str) -> list[int]:
+    """64-bit keys of which any two answers that :func:`same_answer` accepts share one."""
     words = answer.split()
-    keys = ["=" + "".join(words)]
+    keys = [_hash("=" + "".join(words), 0)]
     for k, word in enumerate(words):
-        rest = " ".join(words[:k]) + "\1" + " ".join(words[k + 1 :])
-        name = hashlib.blake2b(rest.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        keys += [name + v for v in _variants(word)]
+        rest = _hash(" ".join(words[:k]) + "\1" + " ".join(words[k + 1 :]), 0)
+        keys += [_hash(v, rest) for v in _variants(word)]
     return keys
 
 
+def _hash(text: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
 def digits_of(question: str) -> str:
     """The numeric characters in order of value, which :func:`same_question` lets no pair differ in."""
     return "".join(sorted(filter(str.isnumeric, question)))
@@ -159,36 +189,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_sums(words: list[str]) -> np.ndarray:
+    """Per word and bit the sum of the signs of its trigrams."""
+    points = np.frombuffer("".join(f"\1{w}\2" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    grams = _mix(_mix(_mix(points[:-2]) + points[1:-1]) + points[2:])
+    ends = np.cumsum([len(w) + 2 for w in words])
+    out = np.empty((len(words), BITS), np.float32)
+    starts = ends - np.array([len(w) + 2 for w in words])
+    inside = np.ones(len(points), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    place = np.flatnonzero(inside)
+    first = np.searchsorted(place, starts)
+    for a in range(0, len(words), 2048):
+        b = min(a + 2048, len(words))
+        part = grams[place[first[a] : first[b] if b < len(words) else len(place)]]
+        names = np.stack([part, _mix(part + np.uint64(0x9E3779B97F4A7C15))], axis=1)
+        signs = np.unpackbits(names.view(np.uint8).reshape(len(part), BITS // 8), axis=1).astype(np.int16) * 2 - 1
+        out[a:b] = np.add.reduceat(signs, first[a:b] - first[a], axis=0)
+    return out
+
+
 def fingerprints(texts: list[list[str]], common: frozenset[str]) -> np.ndarray:
     """128-bit similarity hashes of word lists, as rows of 16 bytes."""
     out = np.zeros((len(texts), BITS // 8), np.uint8)
-    for at in range(0, len(texts), 512):
-        part = texts[at : at + 512]
-        joined = "".join(f"\1{w}\2" for words in part for w in words)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if not len(points):
+    for at in range(0, len(texts), 4096):
+        part = texts[at : at + 4096]
+        words = {w: k for k, w in enumerate(dict.fromkeys(w for t in part for w in t))}
+        if not words:
             continue
-        sizes = np.array([len(w) + 2 for words in part for w in words])
-        weights = np.array([COMMON_WEIGHT if w in common else 1.0 for words in part for w in words], np.float32)
-        owner = np.repeat(np.arange(len(part)), [len(words) for words in part])
-        grams = _mix(_mix(_mix(points[:-2]) + points[1:-1]) + points[2:])
-        ends = np.cumsum(sizes)
-        inside = np.ones(len(points), bool)
-        inside[ends - 1] = inside[ends - 2] = False
-        inside = inside[:-2] if len(points) > 2 else inside[:0]
-        place = np.flatnonzero(inside)
-        word = np.searchsorted(ends, place, side="right")
-        names = np.stack([grams[place], _mix(grams[place] + np.uint64(0x9E3779B97F4A7C15))], axis=1)
-        signs = np.unpackbits(names.view(np.uint8).reshape(len(place), BITS // 8), axis=1).astype(np.float32) * 2 - 1
-        signs *= weights[word][:, None]
-        row = owner[word]
-        if len(row):
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            sums = np.add.reduceat(signs, first, axis=0)
-            out[at + row[first]] = np.packbits(sums > 0, axis=1)
+        sums = _word_sums(list(words)) * np.array([COMMON_WEIGHT if w in common else 1.0 for w in words], np.float32)[:, None]
+        index = np.fromiter((words[w] for t in part for w in t), np.int64)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        row = np.flatnonzero(sizes)
+        first = (np.cumsum(sizes) - sizes)[row]
+        out[at + row] = np.packbits(np.add.reduceat(sums[index], first, axis=0) > 0, axis=1)
     return out
 
 
+# the bits that the second table's blocks are made of: those of each place in all of the first's blocks
+_PERMUTED = np.arange(BITS).reshape(BLOCKS, BITS // BLOCKS).T.ravel()
+
+
+def blocks_of(prints: np.ndarray) -> np.ndarray:
+    """TABLES * BLOCKS blocks of 8 bits of each fingerprint."""
+    return np.concatenate([prints, np.packbits(np.unpackbits(prints, axis=1)[:, _PERMUTED], axis=1)], axis=1)
+
+
 class SplitOverlap:
     """Overlaps between the training records of a table and its other splits.
 
@@ -220,25 +266,23 @@ class SplitOverlap:
         reps = self.members.groupBy("key").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.max("seen").alias("in_train"), F.min("seen").alias("only_train"))
         self.reps = store(reps.select("key", "q", "a", "in_train", (~F.col("only_train")).alias("in_other")), "split-reps")
         total = self.reps.count()
+        self.words = store(self.reps.select(F.explode(F.array_distinct(F.split("q", " "))).alias("w")).groupBy("w").count(), "overlap-words")
         # bounded: a text of n words can hold n / COMMON such words in the mean
-        counts = self.reps.select(F.explode(F.array_distinct(F.split("q", " "))).alias("w")).groupBy("w").count()
-        self.common = frozenset(r.w for r in counts.where(F.col("count") > max(2.0, COMMON * total)).collect())
+        self.common = frozenset(r.w for r in self.words.where(F.col("count") > max(2.0, COMMON * total)).collect())
         self.spark = spark
 
-    def _hashed(self) -> DataFrame:
-        """(key, in_train, in_other, answer, digits, f: 16 blocks) of every representative."""
+    def _hashed(self, sides: DataFrame) -> DataFrame:
+        """(key, train, piece, digits, f0, f1, f: the blocks) of these representatives."""
         common = self.common
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                questions = batch.column(1).to_pylist()
-                prints = fingerprints([q.split() for q in questions], common)
-                blocks = pa.FixedSizeListArray.from_arrays(pa.array(prints.astype(np.int16).ravel()), BLOCKS).cast(pa.list_(pa.int16()))
+                prints = fingerprints([q.split() for q in batch.column(4).to_pylist()], common)
+                blocks = pa.FixedSizeListArray.from_arrays(pa.array(blocks_of(prints).astype(np.int16).ravel()), TABLES * BLOCKS).cast(pa.list_(pa.int16()))
                 words = prints.view(np.int64)
-                columns = [batch.column(0), batch.column(3), batch.column(4), blocks, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([digits_of(q) for q in questions], pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(5)], ["key", "in_train", "in_other", "f", "f0", "f1", "digits", "answer"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), blocks], ["key", "train", "piece", "digits", "f0", "f1", "f"])
 
-        return self.reps.withColumn("answer", F.xxhash64("a")).mapInArrow(run, "key long, in_train boolean, in_other boolean, f array<short>, f0 long, f1 long, digits string, answer long")
+        return sides.select("key", "train", "piece", "digits", "q").mapInArrow(run, "key long, train boolean, piece long, digits long, f0 long, f1 long, f array<short>")
 
     def _answers(self) -> DataFrame:
         """(answer, piece): answers of training records, and those of others that may be the same, themselves included."""
@@ -247,26 +291,27 @@ class SplitOverlap:
             for batch in batches:
                 keys = [answer_keys(a) for a in batch.column(0).to_pylist()]
                 pick = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-                made = [batch.column(c).take(pick) for c in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*made, pa.array([x for k in keys for x in k], pa.string())], ["answer", "in_train", "in_other", "k"])
+                flat = np.array([x for k in keys for x in k], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in (1, 2, 3)), pa.array(flat)], ["answer", "in_train", "in_other", "k"])
 
         each = self.reps.groupBy("a").agg(F.max("in_train").alias("in_train"), F.max("in_other").alias("in_other")).select("a", F.xxhash64("a").alias("answer"), "in_train", "in_other")
-        keyed = each.mapInArrow(run, "answer long, in_train boolean, in_other boolean, k string").withColumn("k", F.xxhash64("k"))
+        keyed = each.mapInArrow(run, "answer long, in_train boolean, in_other boolean, k long")
         left, right = keyed.where("in_train").select("k", "answer"), keyed.where("in_other").select("k", F.col("answer").alias("piece"))
         return left.join(right, "k").select("answer", "piece").distinct()
 
     def near(self) -> DataFrame:
         """(a, b): keys of different classes, a with training records and b with others, that agree."""
-        hashed = store(self._hashed(), "fingerprints")
-        carried = ("key", "f", "f0", "f1", "digits", "piece")
-        left = hashed.where("in_train").join(self._answers(), "answer").select(*carried, F.lit(True).alias("train"))
-        right = hashed.where("in_other").withColumn("piece", F.col("answer")).select(*carried, F.lit(False).alias("train"))
-        sides = store(left.union(right), "overlap-sides")
-        heavy = sides.groupBy("piece").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("piece", F.lit(True).alias("heavy"))
-        rows = sides.join(heavy, "piece", "left")
-        one = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: i * 65536 + F.get("f", i).cast("int"))
-        keyed = rows.select("key", "train", "f0", "f1", "piece", F.when(F.col("heavy"), F.col("digits")).alias("digits"), F.explode(one).alias("block"))
-        keyed = keyed.select("key", "train", "f0", "f1", F.xxhash64("piece", "block", "digits").alias("bucket"))
+        digits = F.xxhash64(F.array_sort(F.split(F.regexp_replace("q", r"\P{N}+", ""), "")))
+        reps = self.reps.select("key", "q", "in_train", "in_other", F.xxhash64("a").alias("answer"), digits.alias("digits"))
+        left = reps.where("in_train").join(self._answers(), "answer").select("key", "q", "piece", "digits", F.lit(True).alias("train"))
+        right = reps.where("in_other").select("key", "q", F.col("answer").alias("piece"), "digits", F.lit(False).alias("train"))
+        sides = left.union(right)
+        # a class with itself is no pair, so a side needs a partner of another key
+        met = sides.groupBy("piece", "digits").agg(F.min("train").alias("t"), F.max("train").alias("u"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        met = met.where("t <> u and lo <> hi").select("piece", "digits")
+        hashed = store(self._hashed(store(sides, "overlap-sides").join(met, ["piece", "digits"], "left_semi")), "fingerprints")
+        keyed = hashed.select("key", "train", "f0", "f1", "piece", "digits", F.posexplode("f").alias("place", "block"))
+        keyed = keyed.select("key", "train", "f0", "f1", F.xxhash64("piece", "digits", "place", "block").alias("bucket"))
         left = keyed.where("train").select("bucket", F.col("key").alias("a"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
         right = keyed.where("not train").select("bucket", F.col("key").alias("b"), F.col("f0").alias("y0"), F.col("f1").alias("y1"))
         distance = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
@@ -277,11 +322,16 @@ class SplitOverlap:
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 qa, aa, qb, ab = (batch.column(c).to_pylist() for c in ("qa", "aa", "qb", "ab"))
-                good = [same_answer(u, v) and same_question(s.split(), t.split()) for s, u, t, v in zip(qa, aa, qb, ab, strict=True)]
-                on = batch.filter(pa.array(good, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([on.column("a"), on.column("b")], ["a", "b"])
-
-        return pairs.select("a", "b", "qa", "aa", "qb", "ab").mapInArrow(verify, "a long, b long")
+                found = [slips(s.split(), t.split()) if same_answer(u, v) else None for s, u, t, v in zip(qa, aa, qb, ab, strict=True)]
+                on = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
+                words = pa.array([[{"x": p, "y": q} for p, q in f] for f in found if f is not None], pa.list_(pa.struct([("x", pa.string()), ("y", pa.string())])))
+                yield pa.RecordBatch.from_arrays([on.column("a"), on.column("b"), words], ["a", "b", "slips"])
+
+        checked = store(pairs.select("a", "b", "qa", "aa", "qb", "ab").mapInArrow(verify, "a long, b long, slips array<struct<x string, y string>>"), "overlap-checked")
+        known = self.words.where(F.col("count") >= KNOWN)
+        each = checked.select("a", "b", F.explode("slips").alias("s")).select("a", "b", "s.x", "s.y")
+        distinct_words = each.join(known.select(F.col("w").alias("x")), "x").join(known.select(F.col("w").alias("y")), "y").select("a", "b").distinct()
+        return checked.select("a", "b").join(distinct_words, ["a", "b"], "left_anti")
 
     def classes(self) -> DataFrame:
         """(a, b) of all agreeing classes, those with records on both sides included."""

@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 import steploom.llm.overlap as overlap
 from steploom.llm.overlap import SplitOverlap, content_words, fingerprints, same_question
 
@@ -31,9 +29,7 @@ def one_block_pairs(n):
     return out
 
 
-@pytest.mark.parametrize("heavy", [1024, 0])
-def test_frequent_answers_cost_no_pair(spark, monkeypatch, heavy):
-    monkeypatch.setattr(overlap, "HEAVY", heavy)
+def test_frequent_answers_cost_no_pair(spark, monkeypatch):
     monkeypatch.setattr(overlap, "COMMON", 1.0)
     rows = [(f"{side}{k}", part, "s", q, "yes") for k, pair in enumerate(one_block_pairs(5)) for side, part, q in zip("tv", ("train", "test"), pair, strict=True)]
     assert found(spark, rows) == {(f"t{k}", f"v{k}") for k in range(5)}
