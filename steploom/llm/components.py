@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steploom.plans.storage import store
+from steploom.plans.storage import store, superseded
 
 
 def _joined(pairs: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     at = store(at.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        at = store(_small_star(_large_star(at)), "stars")
+        before, at = at, store(_small_star(_large_star(at)), "stars")
+        superseded(before)
         new = at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == mark:
             break

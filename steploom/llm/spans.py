@@ -34,6 +34,8 @@ SPAN = 100
 CHUNK_POINTS = 1 << 20
 BLOCK_ROWS = 1 << 20
 BUCKET_POINTS = 1 << 24  # code points of text a bucket of names, some 12 MB of rows
+FILTER_BITS = 1 << 23  # of the filter in front of the join of anchors and texts: at most 131,072 rows
+NAME_BYTES = 6  # of a name are sent to its bucket; names that agree in these only add candidates
 PARTS = 4  # places that are told apart in which a stretch may lie around its anchor
 PAIRWISE = 64  # classes up to this size are compared pair by pair, larger ones by their stretches
 EXPAND = 64  # classes of exact copies up to this size are written out pair by pair
@@ -62,18 +64,17 @@ def _blocks(names: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int) -
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = order[a:b]
         ids.append(int(marks[a]))
-        data.append(b"".join(x[part].tobytes() for x in (names, keys, at.astype(np.int32), kind)))
+        short = names[part].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+        data.append(b"".join((short.tobytes(), *(x[part].tobytes() for x in (keys, at.astype(np.int32), kind)))))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bucket", "block"])
 
 
 def _unblock(data: bytes) -> tuple[np.ndarray, ...]:
-    n = len(data) // 21
-    return (
-        np.frombuffer(data, np.uint64, n),
-        np.frombuffer(data, np.int64, n, 8 * n),
-        np.frombuffer(data, np.int32, n, 16 * n),
-        np.frombuffer(data, np.int8, n, 20 * n),
-    )
+    n = len(data) // (NAME_BYTES + 13)
+    names = np.zeros((n, 8), np.uint8)
+    names[:, :NAME_BYTES] = np.frombuffer(data, np.uint8, NAME_BYTES * n).reshape(n, NAME_BYTES)
+    rest = [np.frombuffer(data, t, n, (NAME_BYTES + at) * n) for t, at in ((np.int64, 0), (np.int32, 8), (np.int8, 12))]
+    return names.view(np.uint64).ravel(), *rest
 
 
 def places(span: int) -> list[tuple[int, int]]:
@@ -305,6 +306,16 @@ def _stretches(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.mapInArrow(run, "stretch long, key long, begin long, before long")
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose key may be among ``keys``; spares the shuffle of most other texts.
+
+    FILTER_BITS bits are broadcast, as words of 64, however many keys there are.
+    """
+    word, bit = F.expr(f"pmod(key, {FILTER_BITS}L) div 64"), F.expr("shiftleft(1L, cast(pmod(key, 64L) as int))")
+    words = keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return rows.join(F.broadcast(words), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 class SharedSpans:
     """Shared spans of the texts of one table; parts are computed when asked for."""
 
@@ -332,10 +343,10 @@ class SharedSpans:
                 points = self.rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
                 self._buckets = max(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(points / BUCKET_POINTS))
             symbols = shared_symbols(self.rows.select("key", "text"), self.span, self._buckets)
-            by_text = symbols.groupBy("key").agg(F.collect_list("at").alias("found"))
-            by_text = by_text.join(self.classes.select("key", F.col("rep").alias("doc")), "key")
-            found = by_text.join(self.rows, ["key", "doc"]).select("key", "text", "found")
-            contexts = store(_contexts(found, self.span), "contexts")
+            by_text = store(symbols.groupBy("key").agg(F.collect_list("at").alias("found")), "anchors", release=True)
+            wanted = by_text.join(self.classes.select("key", F.col("rep").alias("doc")), "key")
+            found = wanted.join(_maybe(self.rows, by_text), ["key", "doc"]).select("key", "text", "found")
+            contexts = store(_contexts(found, self.span), "contexts", release=True)
             named = contexts.select("key", "at", F.posexplode("names").alias("part", "name")).where("name is not null")
             sizes = named.groupBy("name").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
             shared = store(named.join(sizes.where("lo <> hi").select("name", "n"), "name"), "shared-names")
