@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steploom.operators import losses, scaling
@@ -127,42 +127,62 @@ _CHAIN_SQL = f"with {_POINTS} select o_orderpriority, 'ckpt-' || y as name, 'ckp
 # ------------------------------------------------------------------ streams
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, their time with a zone."""
-    schema = read_table(spark, sf_dir, "events").schema
-    stream = pipelines.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+BATCHES = 3
+
+
+def _events(spark: SparkSession, sf_dir: str, order: Column, repeated: bool = False) -> DataFrame:
+    """Events as a stream of BATCHES micro-batches, which arrive by ``order``; their time with a zone."""
+    rows = read_table(spark, sf_dir, "events")
+    path, files = pipelines.arrivals(rows, order, BATCHES, repeated)
+    return pipelines.file_stream(spark, path, rows.schema, files).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _late() -> Column:
+    """Arrival up to three hours after the event, so that events overtake each other."""
+    return F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(3 * 3600)) * 1_000_000
+
+
+def _anyhow() -> Column:
+    """Arrival in no order at all."""
+    return F.pmod(F.xxhash64("event_id"), F.lit(1_000_003))
 
 
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event once, by id."""
-    rows = pipelines.deduplicated(_events(spark, sf_dir), "event_id", "ts", "3650 days")
+    """Every event once, by id, though a third of them is delivered twice."""
+    rows = pipelines.deduplicated(_events(spark, sf_dir, _late(), repeated=True), "event_id", "ts", "3650 days")
     return pipelines.run_to_end(rows.select("event_id", "user_id", "event_type"))
 
 
 def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running count and sum per event type."""
-    out = pipelines.run_to_end(pipelines.running_totals(_events(spark, sf_dir), "event_type", "value"), "complete")
+    out = pipelines.run_to_end(pipelines.running_totals(_events(spark, sf_dir, _anyhow()), "event_type", "value"), "update", keys=["event_type"])
     return out.select("event_type", "n", F.round("total", 2).alias("total"))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type and day."""
-    w = pipelines.windowed_counts(_events(spark, sf_dir), "ts", "event_type", "value", "1 day", "1 hour")
+    """Events per type and day, all windows so far."""
+    w = pipelines.windowed_counts(_events(spark, sf_dir, _late()), "ts", "event_type", "value", "1 day", "6 hours")
     out = pipelines.run_to_end(w, "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def stream_windows_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per type and day, each window once, when the watermark has passed its end."""
+    w = pipelines.windowed_counts(_events(spark, sf_dir, _late()), "ts", "event_type", "value", "1 day", "6 hours")
+    out = pipelines.run_to_end(w)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
 def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits per user with values that purchases bring later."""
-    e = _events(spark, sf_dir).select("user_id", F.when(F.col("event_type") == "purchase", "score").otherwise("visit").alias("kind"), "value")
-    out = pipelines.run_to_end(pipelines.corrected_values(e, "user_id", "kind", "value"), "update")
+    """Visits per user with values that purchases bring later, or sooner."""
+    e = _events(spark, sf_dir, _anyhow()).select("user_id", F.when(F.col("event_type") == "purchase", "score").otherwise("visit").alias("kind"), "value")
+    out = pipelines.run_to_end(pipelines.corrected_values(e, "user_id", "kind", "value"), "update", keys=["user_id"])
     return out.select("user_id", "visits", F.round("total", 2).alias("total"))
 
 
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential average of every user's values."""
-    out = pipelines.run_to_end(pipelines.streaming_ema(_events(spark, sf_dir), "user_id", "event_id", "value"), "update")
+    """Exponential average of every user's values, by event id."""
+    out = pipelines.run_to_end(pipelines.streaming_ema(_events(spark, sf_dir, F.col("event_id")), "user_id", "event_id", "value"), "update", keys=["user_id"])
     return out.select("user_id", "n", F.round("ema", 5).alias("ema"))
 
 
@@ -170,13 +190,14 @@ _STREAM_SQL = {
     "stream_append": "select distinct event_id, user_id, event_type from events",
     "stream_running": "select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+    "stream_windows_closed": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 6 hours group by 1, 2",
     "stream_corrections": "select user_id, count(*) filter (where event_type is distinct from 'purchase') as visits, round(coalesce(sum(value) filter (where event_type = 'purchase'), 0), 2) as total from events group by 1",
     "stream_ema": "with e as (select user_id, value, row_number() over (partition by user_id order by event_id desc) - 1 as i from events) select user_id, count(*) as n, round(sum(0.1 * power(0.9, i) * value), 5) as ema from e group by 1",
 }
 
 QUERIES = {
     "kto_loss": kto_loss, "dpo_loss": dpo_loss, "loss_history": loss_history, "loss_window": loss_window, "lagged_ema": lagged_ema, "collapse": collapse, "action_histogram": action_histogram, "scaling_fit": scaling_fit,
-    "checkpoint_compare": checkpoint_compare, "resume_chain": resume_chain, "stream_append": stream_append, "stream_running": stream_running, "stream_windows": stream_windows, "stream_corrections": stream_corrections, "stream_ema": stream_ema,
+    "checkpoint_compare": checkpoint_compare, "resume_chain": resume_chain, "stream_append": stream_append, "stream_running": stream_running, "stream_windows": stream_windows, "stream_windows_closed": stream_windows_closed, "stream_corrections": stream_corrections, "stream_ema": stream_ema,
 }
 SQL = {
     "kto_loss": _KTO_SQL, "dpo_loss": _DPO_SQL, "loss_history": _HISTORY_SQL, "loss_window": _WINDOW_SQL, "lagged_ema": _EMA_SQL, "collapse": _COLLAPSE_SQL, "action_histogram": _HISTOGRAM_SQL, "scaling_fit": _FIT_SQL,
