@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_private}"
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Deletes a table that :func:`store` wrote."""
     jvm = spark.sparkContext._jvm

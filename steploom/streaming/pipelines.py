@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from steploom.plans.storage import shared_dir
+from steploom.plans.storage import is_stored, shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    if query.lastProgress is None:
+    if not is_stored(spark, out):  # nothing has come yet
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(out)
