@@ -30,11 +30,37 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def _budgeted(spark: SparkSession, sf_dir: str) -> Mix:
+    """A mix of 0.7 times the corpus: more than the targets can fill, so the exponent is bisected to the repetition limits."""
+    counted = _counted(spark, sf_dir)
+    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
+    return Mix(counted, read_table(spark, sf_dir, "mix_targets"), budget=0.7 * total)
+
+
+def p8_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in a mix of 0.7 times the corpus."""
+    return _budgeted(spark, sf_dir).passes().withColumnRenamed("record", "doc_id")
+
+
 def p8_shares_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of a mix of 0.7 times the corpus: tempered as far as the repetition limits ask for."""
+    return _budgeted(spark, sf_dir).shares()
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and source whether the repetition limit is kept and the weight met to within one record; an exponent above 0 is tempered."""
     counted = _counted(spark, sf_dir)
+    targets = read_table(spark, sf_dir, "mix_targets")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
-    return Mix(counted, read_table(spark, sf_dir, "mix_targets"), budget=0.7 * total).shares()
+    largest = counted.groupBy(F.col("source").alias("s")).agg(F.max("n_tokens").alias("largest"))
+    out = None
+    for name, options in (("targets", {}), ("budget", {"budget": 0.7 * total}), ("entropy", {"wanted_entropy": 1.8})):
+        mix = Mix(counted, targets, **options)
+        rows = mix.shares().join(largest, F.col("source") == F.col("s"), "left")
+        met = F.abs(F.col("tokens_drawn") - F.col("weight") * F.lit(float(mix.budget))) <= F.coalesce("largest", F.lit(0)) + 1e-6 * F.lit(float(mix.budget))
+        rows = rows.select(F.lit(name).alias("mix"), "source", (F.col("most_passes") <= F.col("max_passes")).alias("kept"), met.alias("met"), F.lit(mix.exponent > 0).alias("tempered"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def p8_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +68,7 @@ def p8_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, wanted_entropy=1.8).shares()
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_budget": p8_shares_budget, "p8_shares_entropy": p8_shares_entropy}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_budget": p8_mix_budget, "p8_checks": p8_checks, "p8_shares_budget": p8_shares_budget, "p8_shares_entropy": p8_shares_entropy}
+SQL = {
+    "p8_checks": "select mix, source, true as kept, true as met, mix <> 'targets' as tempered from mix_targets, (values ('targets'), ('budget'), ('entropy')) as m(mix)",
+}

@@ -39,7 +39,17 @@ def p9_crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared, "p9_copies": p9_copies, "p9_crowds": p9_crowds}
+_SHARED = """
+with stretches as (select doc_id, i, substr(text, i, 100) as s from (select doc_id, text, unnest(range(1, length(text) - 98)) as i from documents where length(text) >= 100)),
+many as (select s from stretches group by s having count(distinct doc_id) > 1),
+hits as (select doc_id, i, s from stretches join many using (s))
+"""
 SQL = {
+    "p9_found": _SHARED + "select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from hits x join hits y using (s) where x.doc_id < y.doc_id",
+    "p9_shared": _SHARED + """, covered as (
+  select doc_id, sum(least(100, coalesce(next - i, 100))) as c from (select distinct doc_id, i, lead(i) over (partition by doc_id order by i) as next from (select distinct doc_id, i from hits)) group by doc_id)
+select doc_id, cast(coalesce(length(text), 0) as bigint) as n_chars, cast(coalesce(c, 0) as bigint) as shared_chars,
+  case when length(text) > 0 then round(coalesce(c, 0) / length(text), 6) else 0.0 end as shared_share from documents left join covered using (doc_id)""",
     "p9_copies": """
 select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies
 from documents where length(text) >= 100 qualify count(*) over (partition by text) > 1""",

@@ -51,8 +51,24 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("split_name", "proportion", n.alias("n_records"), F.round(n / F.lit(total), 6).alias("share"), F.coalesce("n_correct", F.lit(0)).alias("n_correct"), F.coalesce("n_components", F.lit(0)).alias("n_components"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_questions": p6_questions, "p6_records": p6_records, "p6_shares": p6_shares}
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split whether its records are within the largest component of its quota and none of its components is in another split."""
+    split = _split(spark, sf_dir)
+    records = _records(spark, sf_dir).where("entity_a is not null or entity_b is not null")
+    place = split.assignment().select("entity", "split")
+    a, b = (place.toDF(e, s) for e, s in (("entity_a", "sa"), ("entity_b", "sb")))
+    rows = records.join(a, "entity_a", "left").join(b, "entity_b", "left").withColumn("split", F.coalesce("sa", "sb"))
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("sa") != F.col("sb"), F.lit(False)).cast("int")).alias("torn"))
+    total, largest = split.entities.groupBy("component").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    targets = read_table(spark, sf_dir, "split_targets")
+    joined = targets.join(counts, targets["split_name"] == counts["split"], "left")
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("proportion") * F.lit(total or 0)) <= F.lit(largest or 0)
+    return joined.select("split_name", "proportion", near.alias("near"), (F.coalesce("torn", F.lit(0)) == 0).alias("whole"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_questions": p6_questions, "p6_records": p6_records, "p6_shares": p6_shares, "p6_checks": p6_checks}
 SQL = {
+    "p6_checks": "select split_name, proportion, true as near, true as whole from split_targets",
     "p6_found": """
 with recursive rows as (
   select question_id as a, regexp_replace(trajectory_id, '^(.*)_sample_.*$', '\\1', 's') as b from scored_trajectories),

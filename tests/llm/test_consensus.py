@@ -72,3 +72,20 @@ def test_keys_may_be_called_like_inner_columns(spark):
     votes = spark.createDataFrame([("i", "w", 1, 1), ("i", "v", 1, 1), ("k", "w", 0, 1)], "who string, x string, vote int, votes int")
     found = Consensus(votes, ["who"], "x", "vote", ["votes"]).labels().collect()
     assert {(r.who, r.n_votes) for r in found} == {("i", 2), ("k", 1)}
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_confidence_counts_only_where_it_tells(spark, told):
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for k in range(2000):
+        y = truth[f"t{k}", 0] = int(rng.random() < 0.5)
+        for who in "abc":
+            sure = rng.random()
+            right = rng.random() < (0.5 + 0.48 * sure if told else 0.74)
+            rows.append((f"t{k}", 0, who, y if right else 1 - y, 1, None if rng.random() < 0.1 else 100 * sure))
+    df = spark.createDataFrame(rows, "t string, s int, who string, vote int, at long, sure double")
+    plain, calibrated = (Consensus(df, ["t", "s"], "who", "vote", ["at"], confidence=c) for c in (None, "sure"))
+    gain = accuracy(calibrated.labels().collect(), truth) - accuracy(plain.labels().collect(), truth)
+    spread = [r.calibration for r in calibrated.reliability().collect()]
+    assert (gain > 0 and min(spread) > 0.2) if told else (abs(gain) < 0.01 and max(map(abs, spread)) < 0.2)
