@@ -75,7 +75,9 @@ def stratified_sample(rows: DataFrame, stratum: str, place: Column, targets: dic
     """min(target, available) rows of every stratum, by hash order; nested as targets grow."""
     n = F.row_number().over(Window.partitionBy(stratum).orderBy(place))
     wanted = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))
-    return rows.withColumn("place", n).where(F.col("place") <= F.coalesce(F.element_at(wanted, F.col(stratum)), F.lit(0)))
+    # the plain bound lets Spark keep that many rows a task and stratum before it shuffles and sorts
+    bounded = rows.withColumn("place", n).where(F.col("place") <= max([0, *targets.values()]))
+    return bounded.where(F.col("place") <= F.coalesce(F.element_at(wanted, F.col(stratum)), F.lit(0)))
 
 
 def checkpoint_sizes(rows: DataFrame, stratum: str, place: Column, checkpoints: list[tuple[str, dict[str, int]]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,34 @@ class Checkpoint:
     eval_results: dict[str, float] = field(default_factory=dict)
 
 
+class Callbacks:
+    """What a run calls as it goes on; a subclass overrides what it wants to hear of."""
+
+    def on_log(self, checkpoint: Checkpoint, metrics: dict[str, float]) -> None: ...
+
+    def on_step_end(self, checkpoint: Checkpoint) -> None: ...
+
+    def on_train_end(self, checkpoints: list[Checkpoint]) -> None: ...
+
+
+class MetricLog(Callbacks):
+    """Keeps what was logged, as rows for a metrics table."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str, float]] = []
+
+    def on_log(self, checkpoint: Checkpoint, metrics: dict[str, float]) -> None:
+        self.rows += [(checkpoint.name, name, float(value)) for name, value in metrics.items()]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "checkpoint string, metric string, value double")
+
+
+def run_name(prefix: str, at: datetime) -> str:
+    """A name for a run that sorts by time."""
+    return f"{prefix}_{at:%Y%m%d_%H%M%S}"
+
+
 class Experiment:
     """Prepares, trains and evaluates checkpoints in order; the state is saved after every transition.
 
@@ -30,8 +59,9 @@ class Experiment:
     results stay empty. Finished checkpoints are passed over, so a run that stopped goes on.
     """
 
-    def __init__(self, name: str, checkpoints: list[Checkpoint], save: Callable[[list[Checkpoint]], None] | None = None):
+    def __init__(self, name: str, checkpoints: list[Checkpoint], save: Callable[[list[Checkpoint]], None] | None = None, callbacks: tuple[Callbacks, ...] = ()):
         self.name, self.checkpoints, self.save = name, checkpoints, save or (lambda _: None)
+        self.callbacks = callbacks
         self.train: Callable[[Checkpoint], float] | None = None
         self.evaluate: Callable[[Checkpoint], dict[str, float]] | None = None
 
@@ -44,13 +74,21 @@ class Experiment:
                 while c.status != "evaluated":
                     if c.status == "in_progress" and self.train:
                         c.final_loss = self.train(c)
+                        self._tell("on_log", c, {"loss": c.final_loss})
                     if c.status == "completed" and self.evaluate:
                         c.eval_results = self.evaluate(c)
+                        self._tell("on_log", c, c.eval_results)
                     c.status = advanced(c.status)
                     self.save(self.checkpoints)
+                    self._tell("on_step_end", c)
             before = c.name
+        self._tell("on_train_end", self.checkpoints)
         return self.checkpoints
 
+    def _tell(self, what: str, *args: object) -> None:
+        for c in self.callbacks:
+            getattr(c, what)(*args)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """One row a checkpoint."""
         rows = [(self.name, c.name, c.num_samples, c.status, c.final_loss, c.resume_from, c.eval_results) for c in self.checkpoints]

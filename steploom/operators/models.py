@@ -8,19 +8,24 @@ loops below are driver rounds over the rows that are still active.
 from __future__ import annotations
 
 import hashlib
+import logging
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.functions.parse import action_of, own_step
 from steploom.plans.storage import store
 
 
+logger = logging.getLogger(__name__)
+
+
 class TextModel(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
@@ -43,6 +48,14 @@ class StepScorer(Protocol):
     def score_steps(self, texts: list[list[str]]) -> list[list[float]]: ...
 
 
+class OverlapStepScorer:
+    """Each step by the share of its words that the step before it has too; 1 for a first step."""
+
+    def score_steps(self, texts: list[list[str]]) -> list[list[float]]:
+        pair = OverlapScorer()
+        return [[1.0] * min(1, len(steps)) + pair.score(steps[:-1], steps[1:]) for steps in texts]
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -84,11 +97,12 @@ class OverlapScorer:
         return out
 
 
-def score_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, tries: int = 3, default: dict | None = None) -> DataFrame:
+def score_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, tries: int = 3, default: dict | None = None, pause: float = 0.1) -> DataFrame:
     """Columns that a batch function adds to every row; ``make`` is called once a worker.
 
     ``schema`` names what is added. If the function fails ``tries`` times on a batch, ``default`` is
-    written for its rows; without one the error is raised.
+    written for its rows; without one the error is raised. Every failure is logged, and the pause
+    before another attempt doubles from ``pause`` seconds.
     """
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -99,8 +113,10 @@ def score_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.
                 try:
                     yield pd.concat([batch.reset_index(drop=True), function(batch).reset_index(drop=True)], axis=1)
                     break
-                except Exception:
+                except Exception as error:
+                    logger.warning("a batch of %d rows failed, attempt %d of %d: %s", len(batch), attempt + 1, tries, error)
                     if attempt < tries - 1:
+                        time.sleep(pause * 2**attempt)
                         continue
                     if default is None:
                         raise
@@ -139,6 +155,16 @@ def pair_scored(df: DataFrame, left: str, right: str, model: Callable[[], PairSc
     return score_batches(df, make, f"`{out}` double")
 
 
+def step_scored(df: DataFrame, steps: str, model: Callable[[], StepScorer], out: str = "step_scores") -> DataFrame:
+    """``df`` with a score for every text of the array ``steps``; no scores for a null array."""
+
+    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        m = model()
+        return lambda batch: pd.DataFrame({out: m.score_steps([[] if x is None else [t or "" for t in x] for x in batch[steps]])})
+
+    return score_batches(df, make, f"`{out}` array<double>")
+
+
 class Labeler(ABC):
     """Labels a table of steps."""
 
@@ -166,16 +192,29 @@ class RolloutLabeler(Labeler):
         return rates.withColumn("rpe", rpe_ratio(F.col("mc_before"), F.col("mc_after"))).withColumn("label", rpe_label(F.col("mc_before"), F.col("mc_after"), self.threshold))
 
 
-def generation_loop(questions: DataFrame, model: Callable[[], TextModel], retriever: Callable[[DataFrame], DataFrame] | None = None, max_steps: int = 10) -> DataFrame:
+MARGIN = 10  # tokens that are kept free behind a prompt
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.split(F.trim(text), r"\s+"))
+
+
+def generation_loop(questions: DataFrame, model: Callable[[], TextModel], retriever: Callable[[DataFrame], DataFrame] | None = None, max_steps: int = 10, max_length: int | None = None, length: Callable[[Column], Column] = word_count) -> DataFrame:
     """Trajectories (question_id, question, steps, final_answer, finished) grown a step a round.
 
     Every round prompts the questions still active, reads the action, searches for those that ask
     (``retriever``: rows with ``input`` to rows with ``observation``) and stops those that answer. A
-    response without a readable action counts as reasoning.
+    response without a readable action counts as reasoning. A question whose prompt comes within MARGIN
+    of ``max_length`` (by ``length``, of words without a tokenizer) is finished without an answer.
     """
     state = questions.select("question_id", "question", F.array().cast("array<string>").alias("steps"), F.lit(None).cast("string").alias("final_answer"), F.lit(False).alias("finished"))
     for number in range(1, max_steps + 1):
         active = state.where("not finished").withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Question: "), "question"), F.array_join("steps", "\n"), F.lit(f"Step {number}:")))
+        if max_length is not None:
+            full = length(F.col("prompt")) >= max_length - MARGIN
+            closed = active.where(full).drop("prompt").withColumn("finished", F.lit(True))
+            state = state.where("finished").unionByName(closed)
+            active = active.where(~full)
         step = generated(active, "prompt", model).withColumn("text", own_step(F.col("response"), F.lit(number)))
         step = step.withColumn("a", action_of(F.col("text"))).withColumn("input", F.col("a.input"))
         step = retriever(step) if retriever else step.withColumn("observation", F.lit(None).cast("string"))
@@ -197,7 +236,7 @@ def regenerated(truncated: DataFrame, model: Callable[[], TextModel], max_steps:
     return joined.select(F.col("question_id").alias("trajectory_id"), "kept", F.slice("steps", F.lit(1), room).alias("new_steps"), "final_answer")
 
 
-REGISTRY: dict[str, Callable[..., object]] = {"replay": ReplayModel, "hashed_bag": HashedBagEmbedder, "overlap": OverlapScorer}
+REGISTRY: dict[str, Callable[..., object]] = {"replay": ReplayModel, "hashed_bag": HashedBagEmbedder, "overlap": OverlapScorer, "overlap_steps": OverlapStepScorer}
 
 
 def create(name: str, **options: object) -> object:

@@ -75,6 +75,11 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("step_level").agg(F.count("*").alias("n_pairs"), F.countDistinct("question_id").alias("n_questions"))
 
 
+def critic_flipped(pairs: DataFrame) -> DataFrame:
+    """One row: pairs, and those whose chosen side has the lower F1, so that the critic has decided."""
+    return pairs.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("chosen_f1") < F.col("rejected_f1")).alias("critic_flipped"))
+
+
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose id has no result yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

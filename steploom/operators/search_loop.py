@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steploom.functions.answers import f1_reward
@@ -94,30 +94,78 @@ def grow(
         repeats = open_.where(F.col("is_terminal")).select("question_id", "id", (F.coalesce("f1", F.lit(0.0)) * F.pow(F.lit(beta), F.col("depth"))).alias("value"), F.lit(1).alias("visit"))
         fresh = new.select("question_id", "id", (F.coalesce("f1", F.lit(0.0)) * F.pow(F.lit(beta), F.col("depth"))).alias("value"), F.lit(1).alias("visit"))
         state = store(add_values(state.unionByName(new), fresh.unionByName(repeats), max_depth), "trees")
-        if critic and number % critic_every == 0:
-            rated = store(critic(state.where("not scored and depth > 0")).select("question_id", "id", F.col("score").cast("int").alias("score"), "depth"), "critic")
-            late = rated.select("question_id", "id", (F.col("score") * F.pow(F.lit(beta), F.col("depth"))).alias("value"), F.lit(0).alias("visit"))
-            known = state.join(rated.select("question_id", "id", F.col("score").alias("s")), ["question_id", "id"], "left")
-            known = known.withColumn("critic", F.coalesce("s", "critic")).withColumn("scored", F.col("scored") | F.col("s").isNotNull()).drop("s").select(*state.columns)
-            state = store(add_values(known, late, max_depth), "trees")
+        if critic and (number % critic_every == 0 or number == rollouts):  # no node is left unrated in the end
+            state = rated_by(state, critic, beta, max_depth)
     return state
 
 
+def rated_by(state: DataFrame, critic: Callable[[DataFrame], DataFrame], beta: float, max_depth: int) -> DataFrame:
+    """The trees after the critic has rated the nodes still waiting; values go up, visits don't count again."""
+    rated = store(critic(state.where("not scored and depth > 0")).select("question_id", "id", F.col("score").cast("int").alias("score"), "depth"), "critic")
+    late = rated.select("question_id", "id", (F.col("score") * F.pow(F.lit(beta), F.col("depth"))).alias("value"), F.lit(0).alias("visit"))
+    known = state.join(rated.select("question_id", "id", F.col("score").alias("s")), ["question_id", "id"], "left")
+    known = known.withColumn("critic", F.coalesce("s", "critic")).withColumn("scored", F.col("scored") | F.col("s").isNotNull()).drop("s").select(*state.columns)
+    return store(add_values(known, late, max_depth), "trees")
+
+
 def regenerate(state: DataFrame, targets: DataFrame, model: Callable[[], TextModel], samples: int = 3, max_depth: int = 7) -> DataFrame:
     """New children (several samples) for the parents of failing nodes, added to the trees.
 
     ``targets``: question_id, bad_id, feedback. Every sample's prompt carries the feedback, cut to 500
     characters.
     """
-    bad = targets.select("question_id", F.col("bad_id").alias("id"), "feedback").join(state, ["question_id", "id"])
-    at = bad.select("question_id", F.coalesce("parent_id", "id").alias("at"), "feedback").join(state.withColumnRenamed("id", "at"), ["question_id", "at"])
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("bad_id")) - 1
+    bad = targets.select("question_id", F.col("bad_id").alias("id"), "feedback", place.alias("place")).join(state, ["question_id", "id"])
+    at = bad.select("question_id", F.coalesce("parent_id", "id").alias("at"), "feedback", "place").join(state.withColumnRenamed("id", "at"), ["question_id", "at"])
     at = at.join(prefix_texts(state, max_depth).withColumnRenamed("id", "at"), ["question_id", "at"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     prompt = F.concat_ws("\n", F.concat(F.lit("Question: "), "question"), "prefix", F.concat(F.lit("A critic said: "), F.substring(F.coalesce("feedback", F.lit("")), 1, 500)), F.concat(F.lit("Try another step, sample "), F.col("k").cast("string")))
     ids = state.groupBy("question_id").agg(F.max("id").alias("top"))
     made = generated(at.join(ids, "question_id").withColumn("prompt", prompt), "prompt", model).withColumn("p", sections_open(F.col("response")))
+    return state.unionByName(_new_nodes(made, F.col("top") + F.col("place") * samples + F.col("k"), F.col("at")))
+
+
+def regenerate_frontier(
+    state: DataFrame, targets: DataFrame, model: Callable[[], TextModel], critic: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3, samples: int = 3, max_depth: int = 7, beta: float = 0.9
+) -> DataFrame:
+    """Trees regenerated from ``targets`` (question_id, bad_id, feedback) for several rounds.
+
+    The first round samples new children for the parents of failing nodes. Those of its children that
+    search and answer nothing are the next round's frontier and get children of their own, until a
+    round leaves none. New answers' rewards and the critic's ratings go up to the roots.
+    """
+    before, frontier = state, None
+    for number in range(rounds):
+        if number == 0:
+            grown = regenerate(before, targets, model, samples, max_depth)
+        else:
+            grown = _children(before, frontier, model, samples, max_depth, number)
+        grown = store(grown, "regenerated")
+        new = store(grown.join(before.select("question_id", "id"), ["question_id", "id"], "left_anti"), "new-nodes")
+        values = new.select("question_id", "id", (F.coalesce("f1", F.lit(0.0)) * F.pow(F.lit(beta), F.col("depth"))).alias("value"), F.lit(1).alias("visit"))
+        before = store(add_values(grown, values, max_depth + rounds), "trees")
+        if critic:
+            before = rated_by(before, critic, beta, max_depth + rounds)
+        searching = F.col("text").contains("<search>") & ~F.col("is_terminal") & (F.col("depth") < max_depth)
+        frontier = new.where(searching).select("question_id", "id")
+        if frontier.isEmpty():
+            break
+    return before
+
+
+def _children(state: DataFrame, frontier: DataFrame, model: Callable[[], TextModel], samples: int, max_depth: int, number: int) -> DataFrame:
+    """``state`` with ``samples`` children for every node of the frontier."""
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("id")) - 1
+    at = frontier.withColumn("place", place).join(state, ["question_id", "id"]).join(prefix_texts(state, max_depth), ["question_id", "id"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    prompt = F.concat_ws("\n", F.concat(F.lit("Question: "), "question"), "prefix", F.concat(F.lit(f"Go on, round {number}, sample "), F.col("k").cast("string")))
+    ids = state.groupBy("question_id").agg(F.max("id").alias("top"))
+    made = generated(at.join(ids, "question_id").withColumn("prompt", prompt), "prompt", model).withColumn("p", sections_open(F.col("response")))
+    return state.unionByName(_new_nodes(made, F.col("top") + F.col("place") * samples + F.col("k"), F.col("id")))
+
+
+def _new_nodes(made: DataFrame, new_id: Column, parent: Column) -> DataFrame:
+    """Nodes from responses ``p`` to the prompts of rows with question_id, question, gold and the parent's depth."""
     answered = F.col("p.answer") != ""
-    new = made.select(
-        "question_id", "question", "gold", (F.col("top") + F.col("k")).cast("int").alias("id"), F.col("at").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat(F.lit("<think>"), "response").alias("text"), answered.alias("is_terminal"),
+    return made.select(
+        "question_id", "question", "gold", new_id.cast("int").alias("id"), parent.alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat(F.lit("<think>"), "response").alias("text"), answered.alias("is_terminal"),
         F.lit(0).cast("long").alias("visit_count"), F.lit(0.0).alias("total_value"), F.when(answered, F.coalesce(f1_reward(F.col("p.answer"), F.col("gold")), F.lit(0.0))).alias("f1"), F.lit(None).cast("int").alias("critic"), answered.alias("scored"),
     )
-    return state.unionByName(new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steploom.operators import classify, labeling, pairs, voting
+from steploom.operators import classify, labeling, pairs, training_rows, voting
 from steploom.plans import views
 from steploom.sources import read_table
 
@@ -17,7 +17,7 @@ V, G, L, S = views.VOTES_SQL, views.GOLDS_SQL, views.LABELS_SQL, views.STEPS_SQL
 
 def _vote(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = voting.METHODS[method](views.votes(spark, sf_dir))
+        out = voting.chosen_by(views.votes(spark, sf_dir), method)
         return out.select("question_id", "answer", F.round("value", 6).alias("value"))
 
     return run
@@ -53,6 +53,27 @@ select method, count(*) as total, cast(sum(cast(ok as integer)) as bigint) as co
   round(100 * avg(case when same = 0 or p is null then 0.0 else 2.0 * (same / len(p)) * (same / len(g)) / (same / len(p) + same / len(g)) end), 6) as f1 from s group by method"""
 
 
+def vote_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and F1 of every step scoring with every way to vote."""
+    v = views.votes(spark, sf_dir, "critic_step_scores")
+    known = F.filter(F.coalesce("critic_step_scores", F.array().cast("array<double>")), lambda x: x.isNotNull() & ~F.isnan(x))
+    return voting.scoring_grid(v.withColumn("critic_step_scores", known), views.golds(v), "critic_step_scores")
+
+
+_GRID_SQL = f"""with {V}, {G},
+a as (select question_id, ord, answer, list_filter(coalesce(critic_step_scores, cast([] as double[])), lambda x: x is not null and not isnan(x)) as s from votes),
+w as (select question_id, ord, answer, 'min' as scoring, round(coalesce(list_min(s), 0.0), 6) as score from a union all select question_id, ord, answer, 'product', round(case when len(s) = 0 then 0.0 else list_product(s) end, 6) from a
+  union all select question_id, ord, answer, 'avg', round(coalesce(list_avg(s), 0.0), 6) from a),
+k as (select scoring, question_id, lower(trim(answer)) as key, count(*) as n, sum(score) as weight, min(ord) as ord, arg_min(answer, ord) as answer from w where trim(coalesce(answer, '')) <> '' group by 1, 2, 3),
+chosen as (select scoring, 'majority' as method, question_id, answer from (select *, row_number() over (partition by scoring, question_id order by n desc, ord) as r from k) where r = 1
+  union all select scoring, 'weighted', question_id, answer from (select *, row_number() over (partition by scoring, question_id order by round(weight, 9) desc, ord) as r from k) where r = 1
+  union all select scoring, 'best_of_n', question_id, answer from (select *, row_number() over (partition by scoring, question_id order by score desc, ord) as r from w) where r = 1),
+j as (select scoring, method, coalesce(contains(lower(trim(answer)), lower(trim(gold))), false) as ok, {views.sql_tokens(_BARE_P)} as p, {views.sql_tokens(_BARE_G)} as g from chosen join golds using (question_id)),
+s as (select *, {views.sql_same('p', 'g')} as same from j)
+select scoring, method, count(*) as total, cast(sum(cast(ok as integer)) as bigint) as correct, round(100 * avg(cast(ok as integer)), 6) as em,
+  round(100 * avg(case when same = 0 or p is null then 0.0 else 2.0 * (same / len(p)) * (same / len(g)) / (same / len(p) + same / len(g)) end), 6) as f1 from s group by 1, 2"""
+
+
 def vote_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question the number of attempts and every method's choice."""
     return voting.details(views.votes(spark, sf_dir))
@@ -159,6 +180,32 @@ def mc_rpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RPE_SQL = f"with {S} select trajectory_id, step_id, round(mc_after / (mc_before + 1e-8), 4) as ratio, case when mc_after / (mc_before + 1e-8) >= 0.5 then 'GOOD' else 'BAD' end as label from steps where mc_before is not null and mc_after is not null and not isnan(mc_before) and not isnan(mc_after)"
 
 
+def _step_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = views.steps(spark, sf_dir).select("trajectory_id", "step_id", "text", F.concat(F.lit("Q "), "trajectory_id").alias("question"))
+    c = _consensus(spark, sf_dir).select("trajectory_id", "step_id", F.col("consensus_label").alias("label"))
+    rows = s.where("trajectory_id is not null").join(c, ["trajectory_id", "step_id"], "left")
+    return rows, training_rows.step_rows(rows)
+
+
+def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completion of every labelled step."""
+    return _step_rows(spark, sf_dir)[1].select("trajectory_id", "step_id", "prompt", "completion", "good")
+
+
+_STEP_ROW_SQL = f"""with {L}, {S} select s.trajectory_id, s.step_id, concat_ws(chr(10), 'Q ' || s.trajectory_id, (select string_agg(coalesce(p.text, ''), chr(10) order by p.step_id nulls first) from steps p where p.trajectory_id = s.trajectory_id and p.step_id < s.step_id)) as prompt,
+coalesce(s.text, '') as completion, c.consensus_label = 1 as good from steps s join consensus c on s.trajectory_id = c.trajectory_id and s.step_id = c.step_id where c.consensus_label is not null"""
+
+
+def step_rows_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the preparation of step rows."""
+    rows, made = _step_rows(spark, sf_dir)
+    return training_rows.step_counters(rows, made).select("n_steps", "n_kept", "n_skipped", "n_good", "n_bad")
+
+
+_STEP_ROWS_SQL = f"""with {L}, {S}, j as (select c.consensus_label as label from steps s left join consensus c on s.trajectory_id = c.trajectory_id and s.step_id = c.step_id where s.trajectory_id is not null)
+select count(*) as n_steps, count(label) as n_kept, count(*) - count(label) as n_skipped, count(*) filter (where label = 1) as n_good, count(*) filter (where label = 0) as n_bad from j"""
+
+
 # ------------------------------------------------------------------ classes and samples
 
 
@@ -325,14 +372,14 @@ _MERGED_SQL = f"""with {V}, t as (select trajectory_id, arg_max(question, ingest
 select trajectory_id, question, round(score, 6) as score, len(coalesce(critic_step_labels, critic_step_scores)) = n_steps as aligned from t join votes using (trajectory_id)"""
 
 QUERIES = {f"vote_{m}" if m != "best_of_n" else m: _vote(m) for m in voting.METHODS} | {
-    "vote_leaderboard": vote_leaderboard, "vote_details": vote_details, "step_score_agg": step_score_agg, "consensus_steps": consensus_steps, "consensus_trajectories": consensus_trajectories,
+    "vote_leaderboard": vote_leaderboard, "vote_details": vote_details, "vote_grid": vote_grid, "step_rows_stats": step_rows_stats, "step_rows": step_rows, "step_score_agg": step_score_agg, "consensus_steps": consensus_steps, "consensus_trajectories": consensus_trajectories,
     "consensus_stats": consensus_stats, "consensus_confidence": consensus_confidence, "agreement_kappa": agreement_kappa, "label_quality": label_quality, "training_samples": training_samples, "mc_rpe": mc_rpe,
     "take_until_bad": take_until_bad, "truncate_first_bad": truncate_first_bad, "classify_questions": classify_questions, "best_per_question": best_per_question, "difficulty_class": _difficulties, "difficulty_stats": difficulty_stats,
     "stratified_sample": stratified_sample, "checkpoint_sizes": checkpoint_sizes, "all_good_filter": all_good_filter, "dpo_best_vs_all": _pairs("best_vs_all"), "dpo_best_vs_worst": _pairs("best_vs_worst"), "dpo_all_margins": dpo_all_margins,
     "union_pairs": union_pairs, "resume_anti_join": resume_anti_join, "resume_merge": resume_merge, "merge_scores": merge_scores,
 }
 SQL = {f"vote_{m}" if m != "best_of_n" else m: _vote_sql(m) for m in voting.METHODS} | {
-    "vote_leaderboard": _BOARD_SQL, "vote_details": _DETAILS_SQL, "step_score_agg": _AGG_SQL, "consensus_steps": _CONSENSUS_SQL, "consensus_trajectories": _TRAJ_SQL, "consensus_stats": _STATS_SQL,
+    "vote_leaderboard": _BOARD_SQL, "vote_details": _DETAILS_SQL, "vote_grid": _GRID_SQL, "step_rows_stats": _STEP_ROWS_SQL, "step_rows": _STEP_ROW_SQL, "step_score_agg": _AGG_SQL, "consensus_steps": _CONSENSUS_SQL, "consensus_trajectories": _TRAJ_SQL, "consensus_stats": _STATS_SQL,
     "consensus_confidence": _CONFIDENT_SQL, "agreement_kappa": _KAPPA_SQL, "label_quality": _QUALITY_SQL, "training_samples": _SAMPLES_SQL, "mc_rpe": _RPE_SQL, "take_until_bad": _UNTIL_SQL, "truncate_first_bad": _FIRST_BAD_SQL,
     "classify_questions": _CLASSIFY_SQL, "best_per_question": _BEST_SQL, "difficulty_class": f"with {_DIFF} select * from d", "difficulty_stats": f"with {_DIFF} select difficulty, count(*) as n, round(avg(n_steps), 6) as mean_steps, round(avg(avg_mc), 4) as mean_mc from d group by difficulty",
     "stratified_sample": _SAMPLE_SQL, "checkpoint_sizes": _SIZES_SQL, "all_good_filter": _GOOD_SQL, "dpo_best_vs_all": _pairs_sql(False), "dpo_best_vs_worst": _pairs_sql(True), "dpo_all_margins": _MARGIN_SQL,

@@ -28,18 +28,25 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
     """Questions from JSON lines, a JSON array, an object with ``data``, or a single object."""
     if path.endswith(".jsonl"):
         return schemas.normalised_questions(read_json_rows(spark, path, schemas.QUESTION, limit=limit))
-    item = "struct<id:string,_id:string,question:string,answer:string,gold_answer:string>"
-    whole = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"struct<data:array<{item}>>")["data"]
-    listed = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.coalesce(wrapped, F.array(F.from_json("value", item))))
-    rows = whole.select(F.explode(listed).alias("r")).select("r.*")
+    fields = ("id", "_id", "question", "answer", "gold_answer")
+    own = ", ".join(f"{f} string" for f in fields)
+    item = ", ".join(f"{f}: string" for f in fields)
+    # a JSON array gives a row an element as it is parsed; an object with data is unfolded
+    rows = spark.read.schema(f"{own}, data array<struct<{item}>>").json(path, multiLine=True)
+    rows = rows.select(F.explode(F.coalesce("data", F.array(F.struct(*fields)))).alias("r")).select("r.*")
     return schemas.normalised_questions(rows if limit is None else rows.limit(limit))
 
 
 def read_corpus(spark: SparkSession, path: str | list[str], limit_chars: int = 1200) -> DataFrame:
-    """(doc_id, title, text) of corpus files in any of their layouts; long texts are cut with a mark."""
+    """(doc_id, title, text) of corpus files in any of their layouts; long texts are cut with a mark.
+
+    Documents without an id are named by their place in the files, counted from 0 without gaps.
+    """
     rows = read_json_rows(spark, path, schemas.CORPUS, tolerant=True)
-    numbered = rows.withColumn("n", F.monotonically_increasing_id())
+    if rows.where("id is null and _id is null").isEmpty():
+        numbered = rows.withColumn("n", F.lit(None).cast("long"))
+    else:
+        numbered = with_ordinal(rows.withColumn("__file", F.input_file_name()).withColumn("__line", F.monotonically_increasing_id()), "__file", "__line").withColumnRenamed("ord", "n")
     title = F.coalesce("title", "wikipedia_title", F.substring_index("contents", "\n", 1), F.lit(""))
     body = F.coalesce("text", F.regexp_replace("contents", r"(?s)^[^\n]*\n?", ""), F.lit(""))
     return numbered.select(F.coalesce("id", "_id", F.concat(F.lit("doc_"), F.col("n").cast("string"))).alias("doc_id"), title.alias("title"), truncate_marked(body, limit_chars).alias("text"))
@@ -139,9 +146,64 @@ def write_training_samples(labeled: DataFrame, path: str, layout: str = "jsonl")
     write_rows(rows, path, layout)
 
 
-def distinct_questions(trajectories: DataFrame) -> DataFrame:
-    """(question_id, question, gold_answer) of each question's first trajectory."""
+def distinct_questions(trajectories: DataFrame, order: str = "trajectory_id") -> DataFrame:
+    """(question_id, question, gold_answer) of each question's first trajectory by ``order``."""
     from steploom.functions.text import question_id_of
 
-    rows = trajectories.select(question_id_of(F.col("trajectory_id")).alias("question_id"), "trajectory_id", "question", "gold_answer")
-    return rows.groupBy("question_id").agg(F.min_by(F.struct("question", "gold_answer"), "trajectory_id").alias("f")).select("question_id", "f.question", "f.gold_answer")
+    rows = trajectories.select(question_id_of(F.col("trajectory_id")).alias("question_id"), F.col(order).alias("__order"), "question", "gold_answer")
+    return rows.groupBy("question_id").agg(F.min_by(F.struct("question", "gold_answer"), "__order").alias("f")).select("question_id", "f.question", "f.gold_answer")
+
+
+def write_trees(nodes: DataFrame, path: str) -> None:
+    """Search trees as a node table, by question."""
+    nodes.repartition("question_id").sortWithinPartitions("question_id", "id").write.parquet(path)
+
+
+def read_trees(spark: SparkSession, path: str, max_children: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, trees) that :func:`write_trees` wrote.
+
+    Missing counters of nodes are 0. ``trees`` has a row a question: root, next_id, n_nodes and
+    n_expandable, the nodes that can still get a child.
+    """
+    nodes = spark.read.parquet(path)
+    for name, kind in (("visit_count", "long"), ("total_value", "double"), ("is_terminal", "boolean")):
+        zero = F.lit(False if kind == "boolean" else 0).cast(kind)
+        nodes = nodes.withColumn(name, F.coalesce(F.col(name).cast(kind), zero) if name in nodes.columns else zero)
+    kids = nodes.where("parent_id is not null").groupBy("question_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("n_children"))
+    open_ = ~F.col("is_terminal") & (F.coalesce("n_children", F.lit(0)) < max_children) & (F.col("depth") < max_depth)
+    trees = nodes.join(kids, ["question_id", "id"], "left").groupBy("question_id").agg(
+        F.min(F.when(F.col("parent_id").isNull(), F.col("id"))).alias("root"), (F.max("id") + 1).alias("next_id"), F.count("*").alias("n_nodes"), F.count_if(open_).alias("n_expandable")
+    )
+    return nodes, trees
+
+
+def write_vectors(vectors: DataFrame, path: str, key: str, vector: str) -> None:
+    """A table of vectors by key; vectors of different widths are an error."""
+    width = vectors.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if width[0] != width[1]:
+        raise ValueError(f"vectors of {width[0]} and of {width[1]} numbers")
+    vectors.select(key, vector).write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, n: int | None = None, key: str = "vec_id") -> DataFrame:
+    """Stored vectors, those of the first ``n`` keys; too few of them is an error."""
+    from steploom.operators.retrieval import truncated_to_corpus
+
+    vectors = spark.read.parquet(path)
+    return vectors if n is None else truncated_to_corpus(vectors.withColumnRenamed(key, "vec_id"), n).withColumnRenamed("vec_id", key)
+
+
+def steps_to_judge(trajectories: DataFrame) -> DataFrame:
+    """(trajectory_id, question, gold_answer, step_id, step_type, text, previous) of every step of read trajectories.
+
+    Texts are rebuilt from the steps' fields as tags. Step ids count from 0, those of files that count from 1 are
+    shifted, and an ``answer`` step is called ``finish``.
+    """
+    from steploom.functions.formatting import step_text
+
+    text = F.transform("steps", lambda s: step_text(s["think"], s["search"], s["answer"], s["documents"]))
+    low = F.array_min(F.transform("steps", lambda s: s["step_id"]))
+    rows = trajectories.withColumn("__texts", text).withColumn("__low", F.when(low >= 1, 1).otherwise(0))
+    rows = rows.select("trajectory_id", "question", "gold_answer", "__texts", "__low", F.posexplode("steps").alias("i", "s"))
+    kind = F.when(F.col("s.step_type") == "answer", "finish").otherwise(F.col("s.step_type"))
+    return rows.select("trajectory_id", "question", "gold_answer", (F.coalesce("s.step_id", F.col("i") + F.col("__low")) - F.col("__low")).alias("step_id"), kind.alias("step_type"), F.get("__texts", F.col("i")).alias("text"), F.slice("__texts", F.lit(1), F.col("i")).alias("previous"))
