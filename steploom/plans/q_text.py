@@ -229,12 +229,12 @@ def observation_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.steps(spark, sf_dir).select("trajectory_id", "step_id", F.explode("used_passages").alias("p")).select("trajectory_id", "step_id", "p.doc_id", "p.score")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     ranked = s.join(d, "doc_id").groupBy("trajectory_id", "step_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "doc_id", F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
-    return ranked.select("trajectory_id", "step_id", formatting.observation(F.col("p"), 80).alias("block"))
+    return ranked.select("trajectory_id", "step_id", formatting.observation(F.col("p")).alias("block"))
 
 
 _OBSERVATION_SQL = f"""with {views.STEPS_SQL}, s as (select trajectory_id, step_id, unnest(used_passages) as p from steps),
 j as (select trajectory_id, step_id, coalesce(source, '') as title, coalesce(text, '') as text, row_number() over (partition by trajectory_id, step_id order by p.score desc, d.doc_id, coalesce(source, ''), coalesce(text, '')) as i from s join documents d on s.p.doc_id = d.doc_id)
-select trajectory_id, step_id, E'<documents>\\n' || string_agg('[' || i || '] ' || title || ': ' || substring(text, 1, 80) || '...', E'\\n' order by i) || E'\\n</documents>' as block from j group by trajectory_id, step_id"""
+select trajectory_id, step_id, E'<documents>\\n' || string_agg('[' || i || '] ' || title || ': ' || substring(text, 1, 500) || '...', E'\\n' order by i) || E'\\n</documents>' as block from j group by trajectory_id, step_id"""
 
 
 def trajectory_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
