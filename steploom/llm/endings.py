@@ -35,8 +35,10 @@ def unclosed(text: Column) -> Column:
     broken = tail.rlike(r"<[/A-Za-z]*$|\[/[A-Z]*$")
     for tag in TAGS:
         left, right = "<>" if tag.islower() else "[]"
-        broken = broken | (count_of(text, f"{left}{tag}{right}") > count_of(text, f"{left}/{tag}{right}"))
-    return broken | text.rlike(r"[A-Za-z]\[[a-z]+=\"[^\"]*$") | text.rlike(r"\[[a-z]+=\"[^\"]*\"$")
+        # counted only in texts that have the tag at all
+        opened = f"{left}{tag}{right}"
+        broken = broken | (text.contains(opened) & (count_of(text, opened) > count_of(text, f"{left}/{tag}{right}")))
+    return broken | (text.contains('="') & (text.rlike(r"[A-Za-z]\[[a-z]+=\"[^\"]*$") | text.rlike(r"\[[a-z]+=\"[^\"]*\"$")))
 
 
 def open_quote(text: Column) -> Column:
@@ -57,7 +59,8 @@ def bare_answer(text: Column) -> Column:
     plain = F.trim(text)
     words = F.split(F.regexp_replace(plain, r"[.!?]$", ""), r"\s+")
     named = F.forall(words, lambda w: w.rlike(r"^(?:\p{Lu}.*|\p{N}.*|the|of|yes|no|none|and|sí|oui|non|ja|nein|[-–—.]+)$"))
-    return (F.size(words) <= 7) & named & ~F.lower(F.get(words, F.lit(0))).isin(*SENTENCE_WORDS.split())
+    # most texts have more words, which the pattern sees at the eighth
+    return plain.rlike(r"^\S*(?:\s+\S+){0,6}\s*$") & (F.size(words) <= 7) & named & ~F.lower(F.get(words, F.lit(0))).isin(*SENTENCE_WORDS.split())
 
 
 def unfinished(text: Column) -> Column:

@@ -29,17 +29,24 @@ def function_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*known))
 
 
-def language_scores(text: Column, found: Column) -> Column:
-    """Evidence for each of LANGUAGES: function words (``found``), or a quarter of the letters of its script."""
+def foreign_letters(text: Column) -> Column:
+    """The letters of any of SCRIPTS, '' for most texts. To be made a column of its own, as it is read once a script."""
+    every = "[" + "".join(s.strip("[]") for s in SCRIPTS.values()) + "]"
+    # ASCII, and then a plain range, tell nearly all texts apart before any script is looked up
+    other = (F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{370}-\x{1FFF}\x{2E80}-\x{10FFFF}]")
+    return F.when(other, F.array_join(F.regexp_extract_all(text, F.lit(f"({every}+)"), F.lit(1)), "")).otherwise("")
+
+
+def language_scores(found: Column, foreign: Column) -> Column:
+    """Evidence for each of LANGUAGES: function words (``found``), or a quarter of the letters of its script (``foreign``)."""
 
     def listed(words: str) -> Column:
         return F.size(F.filter(found, lambda w: w.isin(*words.split())))
 
     scores = [listed(w) for w in WORDS.values()]
-    foreign = text.rlike("[" + "".join(s.strip("[]") for s in SCRIPTS.values()) + "]")
     for script in SCRIPTS.values():
-        letters = F.length(F.regexp_replace(text, rf"(?:(?!{script})[\s\S])+", ""))
-        scores.append(F.when(foreign, F.floor(letters / 4)).otherwise(0).cast("int"))
+        letters = F.length(F.regexp_replace(foreign, rf"(?:(?!{script})[\s\S])+", ""))
+        scores.append(F.when(foreign != "", F.floor(letters / 4)).otherwise(0).cast("int"))
     return F.array(*scores)
 
 

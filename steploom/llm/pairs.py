@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.llm.endings import unfinished
-from steploom.llm.language import best_language, function_words, language_scores
+from steploom.llm.language import best_language, foreign_letters, function_words, language_scores
 
 # Order of precedence where one type is wanted.
 DEFECTS = ("empty", "copies_prompt", "refusal", "truncated", "other_language")
@@ -65,7 +65,8 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFra
     prose = F.regexp_replace(F.regexp_replace(prose, _TAG, " "), r"(?s)[\"“„«][^\"”“»]*(?:[\"”“»]|$)", " ")
     rows = rows.withColumn("__content", _bare(body)).withColumn("__asked", _bare(question)).withColumn("__prose", prose)
     rows = rows.withColumn("__prose_words", function_words(F.col("__prose"))).withColumn("__question_words", function_words(question))
-    rows = rows.withColumn("__told", language_scores(F.col("__prose"), F.col("__prose_words"))).withColumn("__lang", language_scores(question, F.col("__question_words")))
+    rows = rows.withColumn("__prose_foreign", foreign_letters(F.col("__prose"))).withColumn("__question_foreign", foreign_letters(question))
+    rows = rows.withColumn("__told", language_scores(F.col("__prose_words"), F.col("__prose_foreign"))).withColumn("__lang", language_scores(F.col("__question_words"), F.col("__question_foreign")))
     content, asked = F.col("__content"), F.col("__asked")
     # a last answer tag that is closed around nothing, whatever was thought before it
     hollow = text.rlike(r"(?s)<answer>[^\p{L}\p{N}]*</answer>\s*$")
