@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +52,29 @@ def masked_sum(values: Column, mask: Column) -> Column:
 
 
 def lagged_ema(batches: DataFrame, run: str, order: str, value: str, decay: float = 0.1) -> DataFrame:
-    """Adds z0 = max(0, ema before the row) and ema after it, per run in order.
+    """Adds z0 = max(0, ema before the row) and ema after it, per run in order (equal orders by value).
 
-    A null value leaves the average as it is. A run's log is a bounded control table, folded in
-    one ordered pass.
+    A null value leaves the average as it is. Rows are sorted by run and order and stream past, with one
+    number kept, so a run of any length is neither gathered in a row nor held in memory.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    start = F.struct(F.lit(0.0).alias("ema"), F.array().cast("array<struct<o:double,z0:double,ema:double>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        ema = F.when(x["v"].isNull(), state["ema"]).otherwise((1 - decay) * state["ema"] + decay * x["v"])
-        made = F.struct(x["o"].cast("double").alias("o"), F.greatest(F.lit(0.0), state["ema"]).alias("z0"), ema.alias("ema"))
-        return F.struct(ema.alias("ema"), F.concat(state["out"], F.array(made)).alias("out"))
 
-    folded = batches.groupBy(run).agg(F.aggregate(rows, start, step)["out"].alias("r"))
-    return folded.select(run, F.explode("r").alias("x")).select(run, F.col("x.o").cast(batches.schema[order].dataType).alias(order), F.col("x.z0").alias("z0"), F.col("x.ema").alias("ema"))
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ema, begun = None, 0.0, False
+        for part in parts:
+            names = part.column(0).to_pylist()
+            z0, after = np.empty(len(names)), np.empty(len(names))
+            for k, (name, x) in enumerate(zip(names, part.column(2).to_pylist(), strict=True)):
+                if not begun or name != at:
+                    at, ema, begun = name, 0.0, True
+                z0[k] = max(0.0, ema)
+                ema = ema if x is None else (1 - decay) * ema + decay * x
+                after[k] = ema
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z0), pa.array(after)], [run, order, "z0", "ema"])
+
+    kind = {c: batches.schema[c].dataType.simpleString() for c in (run, order)}
+    rows = batches.select(run, order, F.col(value).cast("double").alias("__value"))
+    ordered = rows.repartition(run).sortWithinPartitions(run, order, "__value")
+    return ordered.mapInArrow(fold, f"`{run}` {kind[run]}, `{order}` {kind[order]}, z0 double, ema double")
 
 
 def collapsed_at(log: DataFrame, run: str, step: str, loss: str, kl: str, warmup: int = 30) -> DataFrame:

@@ -13,7 +13,7 @@ QUERIES = registry.queries()
 IN_JVM = (
     "vote_leaderboard vote_details answer_f1 answer_em_cover metrics_multi_gold parse_sections parse_open_ended parse_action parse_numbered_steps judge_json critic_output soft_score step_to_text format_prompt chat_messages extract_answer "
     "consensus_steps consensus_trajectories agreement_kappa training_samples mc_rpe take_until_bad truncate_first_bad classify_questions difficulty_class dpo_best_vs_all dpo_all_margins resume_anti_join tree_paths tree_backprop tree_ucb_select "
-    "sibling_pairs doc_spans label_mask kto_loss dpo_loss loss_history lagged_ema scaling_fit gold_in_docs token_length_profile normalize_n1"
+    "sibling_pairs doc_spans label_mask kto_loss dpo_loss loss_history scaling_fit gold_in_docs token_length_profile normalize_n1"
 ).split()
 
 
