@@ -49,11 +49,29 @@ _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _GROUPED = re.compile(r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))")
 
 
+def _latin() -> dict[int, str]:
+    """Characters that come to ASCII letters without their accents, or that stand between words."""
+    out = {}
+    for k in range(0x80, 0x2100):
+        flat = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c))
+        if len(flat) == 1 and flat.isascii() and flat.isalpha():
+            out[k] = flat
+        elif unicodedata.category(chr(k))[0] in "PZ" and flat == chr(k):
+            out[k] = " "
+    return out
+
+
+_LATIN = _latin()
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words without accents; digits grouped by commas are one word."""
-    if text and text.isascii():
-        text = text.lower()
-        return _ASCII_WORD.findall(_GROUPED.sub("", text) if "," in text else text)
+    if text and not text.isascii():
+        plain = text.casefold().translate(_LATIN)
+    else:
+        plain = (text or "").lower()
+    if plain.isascii():  # the usual case; what follows is the same for any script
+        return _ASCII_WORD.findall(_GROUPED.sub("", plain) if "," in plain else plain)
     text = regex.sub(r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "", text or "")
     flat = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
     return _WORD.findall(flat)
@@ -295,7 +313,10 @@ class SplitOverlap:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in (1, 2, 3)), pa.array(flat)], ["answer", "in_train", "in_other", "k"])
 
         each = self.reps.groupBy("a").agg(F.max("in_train").alias("in_train"), F.max("in_other").alias("in_other")).select("a", F.xxhash64("a").alias("answer"), "in_train", "in_other")
+        # few bytes make many keys, so the number of tasks isn't left to the bytes
+        each = each.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "answer")
         keyed = each.mapInArrow(run, "answer long, in_train boolean, in_other boolean, k long")
+        keyed = store(keyed, "answer-keys")
         left, right = keyed.where("in_train").select("k", "answer"), keyed.where("in_other").select("k", F.col("answer").alias("piece"))
         return left.join(right, "k").select("answer", "piece").distinct()
 
@@ -305,11 +326,11 @@ class SplitOverlap:
         reps = self.reps.select("key", "q", "in_train", "in_other", F.xxhash64("a").alias("answer"), digits.alias("digits"))
         left = reps.where("in_train").join(self._answers(), "answer").select("key", "q", "piece", "digits", F.lit(True).alias("train"))
         right = reps.where("in_other").select("key", "q", F.col("answer").alias("piece"), "digits", F.lit(False).alias("train"))
-        sides = left.union(right)
+        sides = store(left.union(right), "overlap-sides")
         # a class with itself is no pair, so a side needs a partner of another key
         met = sides.groupBy("piece", "digits").agg(F.min("train").alias("t"), F.max("train").alias("u"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         met = met.where("t <> u and lo <> hi").select("piece", "digits")
-        hashed = store(self._hashed(store(sides, "overlap-sides").join(met, ["piece", "digits"], "left_semi")), "fingerprints")
+        hashed = store(self._hashed(sides.join(met, ["piece", "digits"], "left_semi")), "fingerprints")
         keyed = hashed.select("key", "train", "f0", "f1", "piece", "digits", F.posexplode("f").alias("place", "block"))
         keyed = keyed.select("key", "train", "f0", "f1", F.xxhash64("piece", "digits", "place", "block").alias("bucket"))
         left = keyed.where("train").select("bucket", F.col("key").alias("a"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))

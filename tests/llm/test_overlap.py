@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -39,6 +40,12 @@ def test_known_words_are_not_slips_of_each_other():
     assert same_question(a, b, frozenset({"painter"})) and not same_question(a, b, frozenset({"painter", "painted"}))
 
 
+@pytest.mark.parametrize("text", ["Où fut né Zoë—à l'École?", "¿Quién fundó 1,234 años después?", "Straße Łódź ½ ﬁne № 5", "Ωmega Привет 東京", "naïve café “x” e\u0301", "a\u00ada ٣٤ x", ""])
+def test_words_are_the_same_on_the_short_way(text):
+    flat = "".join(c for c in unicodedata.normalize("NFKD", overlap.regex.sub(r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "", text).casefold()) if not unicodedata.combining(c))
+    assert overlap.words_of(text) == overlap.regex.findall(r"[\p{L}\p{M}\p{N}]+", flat)
+
+
 def test_fingerprints_do_not_depend_on_batch_or_order():
     texts = [content_words(t) for t in ("Where did Tarpolin Rovers go?", "Go where Rovers did Tarpolin", "x", "")]
     texts[3] = []
