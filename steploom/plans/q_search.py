@@ -12,8 +12,10 @@ from steploom.operators import retrieval
 from steploom.operators.models import OverlapScorer, pair_scored
 from steploom.plans.storage import store
 from steploom.sources import read_table
+from steploom.sources.files import with_ordinal
 
 WIDTH = 64
+NEAREST = 50  # length of the lists that are fused
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +68,12 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A dense list of 50, and a sparse one by label distance and id distance."""
     e, q = _embeddings(spark, sf_dir)
-    dense = retrieval.dense_top_k(e, q, "vec_id", "vec_id", "embedding", 50, WIDTH)
-    asked = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    same = asked.join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("ql")), "ql")
-    sparse = retrieval.top_k(same.select("query_id", "doc_id", F.round(1 / (1 + F.abs(F.col("query_id") - F.col("doc_id"))), 6).alias("score")), 50)
+    dense = retrieval.dense_top_k(e, q, "vec_id", "vec_id", "embedding", NEAREST, WIDTH)
+    # the nearest ids of a label are its neighbours by place, so blocks of places meet, never a whole label
+    placed = with_ordinal(e.select("vec_id", "label"), "label", "vec_id").select(F.col("vec_id").alias("doc_id"), "label", "ord", F.floor(F.col("ord") / NEAREST).alias("block"))
+    asked = placed.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("label").alias("ql"), F.col("ord").alias("qo"), F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"))
+    same = asked.join(placed, "block").where((F.col("ql") == F.col("label")) & (F.abs(F.col("qo") - F.col("ord")) <= NEAREST))
+    sparse = retrieval.top_k(same.select("query_id", "doc_id", F.round(1 / (1 + F.abs(F.col("query_id") - F.col("doc_id"))), 6).alias("score")), NEAREST)
     return sparse, dense
 
 

@@ -165,6 +165,17 @@ select trajectory_id, step_id, cast(0 as integer) as place, case when len(found)
   cast(length(trim(regexp_replace(text, '^[ \\t]*Step[ \\t]+[0-9]+:', ''), E' \\t\\n\\r\u00a0')) as integer) as length from x"""
 
 
+def parse_many_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered steps read back from whole trajectories of several steps."""
+    s = views.steps(spark, sf_dir).where("trajectory_id is not null and step_id is not null").groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step_id", F.coalesce("step_type", F.lit("none")).alias("t")))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": a "), x["t"], F.lit(" step\nof two lines"))), "\n")
+    return s.select("trajectory_id", F.posexplode(parse.numbered_steps(text))).select("trajectory_id", F.col("pos").alias("place"), "col.number", F.col("col.content").alias("content"))
+
+
+_MANY_SQL = f"""with {views.STEPS_SQL}, n as (select trajectory_id, step_type, row_number() over (partition by trajectory_id order by step_id, coalesce(step_type, 'none')) as i from steps where trajectory_id is not null and step_id is not null)
+select trajectory_id, cast(i - 1 as integer) as place, cast(i as integer) as number, 'a ' || coalesce(step_type, 'none') || ' step' || chr(10) || 'of two lines' as content from n"""
+
+
 def judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge responses of whole trajectories, written as fenced JSON with a trailing comma and read back."""
     j = views.judged(spark, sf_dir)
@@ -361,13 +372,13 @@ _PROFILE_SQL = f"select source, count(*) as n, cast(min(w) as integer) as fewest
 _N = {"n1": (text.normal_full, views.sql_full), "n2": (text.normal_joined, views.sql_joined), "n3": (text.normal_bare, views.sql_bare), "n4": (text.normal_ascii, views.sql_ascii)}
 QUERIES = {f"normalize_{k}": _normalise(f) for k, (f, _) in _N.items()} | {
     "answer_f1": answer_f1, "answer_em_cover": answer_em_cover, "metrics_multi_gold": metrics_multi_gold, "extract_answer": extract_answer, "parse_sections": parse_sections, "parse_open_ended": parse_open,
-    "parse_action": parse_action, "parse_numbered_steps": parse_numbered_steps, "judge_json": judge_json, "critic_output": critic_output, "soft_score": soft_scores, "step_to_text": step_to_text,
+    "parse_action": parse_action, "parse_numbered_steps": parse_numbered_steps, "parse_many_steps": parse_many_steps, "judge_json": judge_json, "critic_output": critic_output, "soft_score": soft_scores, "step_to_text": step_to_text,
     "observation_block": observation_block, "format_prompt": trajectory_prompts, "chat_messages": chat_messages, "dedup_corpus": dedup_corpus, "truncate_text": truncate_text, "reindex_steps": reindex_steps,
     "group_by_composite_id": group_by_composite_id, "gold_in_docs": gold_in_docs, "doc_spans": doc_spans, "label_mask": label_mask, "token_length_profile": token_length_profile,
 }
 SQL = {f"normalize_{k}": _normalise_sql(e) for k, (_, e) in _N.items()} | {
     "answer_f1": _f1_sql(), "answer_em_cover": _EM_SQL, "metrics_multi_gold": _MULTI_SQL, "parse_sections": _SECTIONS_SQL, "parse_open_ended": _OPEN_SQL, "parse_action": _ACTION_SQL,
-    "parse_numbered_steps": _NUMBERED_SQL, "judge_json": _JUDGE_SQL, "critic_output": _CRITIC_SQL, "soft_score": _SOFT_SQL, "step_to_text": _STEP_TEXT_SQL, "observation_block": _OBSERVATION_SQL,
+    "parse_numbered_steps": _NUMBERED_SQL, "parse_many_steps": _MANY_SQL, "judge_json": _JUDGE_SQL, "critic_output": _CRITIC_SQL, "soft_score": _SOFT_SQL, "step_to_text": _STEP_TEXT_SQL, "observation_block": _OBSERVATION_SQL,
     "format_prompt": _PROMPTS_SQL, "chat_messages": _CHAT_SQL, "dedup_corpus": _DEDUP_SQL, "truncate_text": _TRUNCATE_SQL, "reindex_steps": _REINDEX_SQL, "group_by_composite_id": _COMPOSITE_SQL,
     "gold_in_docs": _GOLD_SQL, "doc_spans": _SPANS_SQL, "label_mask": _MASK_SQL, "token_length_profile": _PROFILE_SQL,
 }

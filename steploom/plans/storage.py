@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _private: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,9 +55,21 @@ def store_path(df: DataFrame, label: str) -> str:
     """Writes ``df`` as Parquet below the shared folder and returns the path."""
     path = f"{shared_dir(df.sparkSession)}/steploom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return path
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes every table this driver has stored so far, once the results that read them are written; gives their number.
+
+    A result that hasn't been written yet can't be read afterwards.
+    """
+    paths = [_written.pop() for _ in range(len(_written))]
+    for path in paths:
+        drop_stored(spark, path)
+    return len(paths)
+
+
 def store(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """``df`` written once and read back: a cut lineage.
 

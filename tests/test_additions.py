@@ -143,3 +143,13 @@ def test_regeneration_goes_on_from_searches(spark):
     assert all(r.critic == 1 for r in grown if r.depth) and next(r for r in grown if r.id == 0).visit_count == 14
     ending = lambda: models.ReplayModel(["a</think><answer>x</answer>"])
     assert search_loop.regenerate_frontier(state, targets, ending, rounds=3, samples=2).count() == 3
+
+
+def test_stored_tables_are_cleared(spark):
+    from steploom.plans import storage
+
+    storage.clear_stored(spark)
+    df = storage.store(spark.range(3).toDF("id"), "x")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3 and storage.is_stored(spark, path)
+    assert storage.clear_stored(spark) == 1 and not storage.is_stored(spark, path)
