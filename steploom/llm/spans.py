@@ -39,7 +39,7 @@ NAME_BYTES = 6  # of a name are sent to its bucket; names that agree in these on
 PARTS = 4  # places that are told apart in which a stretch may lie around its anchor
 PAIRWISE = 64  # classes up to this size are compared pair by pair, larger ones by their stretches
 EXPAND = 64  # classes of exact copies up to this size are written out pair by pair
-CROWD = 4096  # texts with one stretch in common up to which all their pairs are written out
+CROWD = 64  # texts with one stretch in common up to which all their pairs are written out
 
 DECIDE, PASS, EVIDENCE = 0, 1, 2
 
