@@ -7,11 +7,15 @@ retrieved documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.llm.endings import unfinished
-from steploom.llm.language import best_language, foreign_letters, function_words, language_scores
+from steploom.llm.language import LANGUAGES, best_language, foreign_letters, function_words, language_scores
+from steploom.llm.profiles import Profiles
 
 # Order of precedence where one type is wanted.
 DEFECTS = ("empty", "copies_prompt", "refusal", "truncated", "other_language")
@@ -51,11 +55,12 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFrame:
+def with_defects(rows: DataFrame, prompt: str, answer: str, out: str, profiles: Profiles | None = None) -> DataFrame:
     """``rows`` with an array of every defect the answer shows, in the order of DEFECTS.
 
     A null answer is empty. With a null or wordless prompt no rule that needs the question fires.
-    The steps are columns of their own, so that none is worked out twice.
+    The steps are columns of their own, so that none is worked out twice. With ``profiles`` the languages
+    that have one are told by it, and scripts and function words only speak for other languages.
     """
     kept = rows.columns
     text, question, body = F.col("__text"), F.col("__question"), F.col("__body")
@@ -63,7 +68,10 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFra
     rows = rows.withColumn("__body", F.regexp_replace(text, _TAG, " "))
     prose = F.regexp_replace(text, r"(?s)<search>.*?(?:</search>|$)|<documents>.*?(?:</documents>|$)", " ")
     prose = F.regexp_replace(F.regexp_replace(prose, _TAG, " "), r"(?s)[\"“„«][^\"”“»]*(?:[\"”“»]|$)", " ")
-    rows = rows.withColumn("__content", _bare(body)).withColumn("__asked", _bare(question)).withColumn("__prose", prose)
+    rows = rows.withColumn("__prose", prose)
+    if profiles is not None:
+        rows = _with_profiles(rows.select(*kept, "__text", "__question", "__body", "__prose"), profiles)
+    rows = rows.withColumn("__content", _bare(body)).withColumn("__asked", _bare(question))
     rows = rows.withColumn("__prose_words", function_words(F.col("__prose"))).withColumn("__question_words", function_words(question))
     rows = rows.withColumn("__prose_foreign", foreign_letters(F.col("__prose"))).withColumn("__question_foreign", foreign_letters(question))
     rows = rows.withColumn("__told", language_scores(F.col("__prose_words"), F.col("__prose_foreign"))).withColumn("__lang", language_scores(F.col("__question_words"), F.col("__question_foreign")))
@@ -76,22 +84,39 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str) -> DataFra
     prefix = asked.startswith(said) & (F.length(said) * 10 >= F.length(asked) * 8)
     asked_in, told_in = best_language(F.col("__lang")), best_language(F.col("__told"), 2)
     own = F.get(F.col("__told"), asked_in - 1)
+    foreign = (told_in != asked_in) & (F.array_max("__told") > 2 * own)
+    if profiles is not None:
+        profiled = [k for k, name in enumerate(LANGUAGES, 1) if name in profiles.languages]
+        foreign = F.col("__differs") | (foreign & ~told_in.isin(*profiled))
     found = {
         "empty": (content == "") | hollow,
         "copies_prompt": (asked != "") & (content != "") & ((rest == "") | prefix),
         "refusal": F.lower(body).rlike(_REFUSAL),
         "truncated": unfinished(text),
-        "other_language": (told_in != asked_in) & (F.array_max("__told") > 2 * own),
+        "other_language": foreign,
     }
     return rows.select(*kept, F.filter(F.array(*(F.when(found[d], F.lit(d)) for d in DEFECTS)), lambda d: d.isNotNull()).alias(out))
 
 
+def _with_profiles(rows: DataFrame, profiles: Profiles) -> DataFrame:
+    """``rows`` with ``__differs``: by the profiles the prose is of another language than the question."""
+    question, prose = rows.columns.index("__question"), rows.columns.index("__prose")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = profiles.differ(batch.column(question).to_pylist(), batch.column(prose).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told)], [*batch.schema.names, "__differs"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, `__differs` boolean")
+
+
 def only_defect(types: Column) -> Column:
     """The one defect to report: a refusal before the empty answer tag it leaves, else the first."""
     return F.when(F.array_contains(types, "refusal") & ~F.array_contains(types, "copies_prompt"), F.lit("refusal")).otherwise(F.get(types, F.lit(0)))
 
 
-def broken_sides(df: DataFrame, record: str, prompt: str, sides: list[str]) -> DataFrame:
+def broken_sides(df: DataFrame, record: str, prompt: str, sides: list[str], profiles: Profiles | None = None) -> DataFrame:
     """(record, side, defect, defects) of every defective side.
 
     Repeated rows count each; a row with a null ``record`` keeps it null. Columns besides
@@ -102,7 +127,7 @@ def broken_sides(df: DataFrame, record: str, prompt: str, sides: list[str]) -> D
         F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"`{s}`").cast("string").alias("answer")) for s in sides))).alias("__s"),
     )
     long = long.select(record, F.col("__s.side").alias("side"), "__prompt", F.col("__s.answer").alias("__answer"))
-    typed = with_defects(long, "__prompt", "__answer", "defects")
+    typed = with_defects(long, "__prompt", "__answer", "defects", profiles)
     # a generator and no filter: a filter on the result would be pushed below the steps and repeat them all
     one = F.struct(only_defect(F.col("defects")).alias("defect"), "defects")
     broken = typed.select(record, "side", F.explode(F.filter(F.array(one), lambda x: F.size(x["defects"]) > 0)).alias("__d"))
