@@ -38,7 +38,7 @@ EXPAND = 64
 # Words whose presence changes nothing that is asked (articles, copulas, which/what,
 # and the frame that prompts put around a question).
 FILLERS = frozenset(
-    "the a an is was are be which what in please tell me kindly could can you answer briefly shortly question q retry again "
+    "the a an is was are were be both which what in please tell me kindly could can you answer briefly shortly question q retry again "
     "el la los las un una es fue era cuál cual qué que por favor pregunta responde brevemente "
     "le les une est était quel quelle s'il vous plaît svp réponds brièvement "
     "der die das ein eine ist war welche welcher welches welchem bitte frage antworte kurz".replace("'", " ").split()
