@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_text", "q_labels", "q_search", "q_tree", "q_training", "q_sources")
+MODULES = ("q_text", "q_labels", "q_search", "q_tree", "q_training", "q_sources", "q_loops")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
