@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steploom.llm.endings import unfinished
 from steploom.llm.language import LANGUAGES, best_language, foreign_letters, function_words, language_scores
-from steploom.llm.profiles import Profiles
+from steploom.llm.profiles import DIFFERENT, UNCLEAR, Profiles
 
 # Order of precedence where one type is wanted.
 DEFECTS = ("empty", "copies_prompt", "refusal", "truncated", "other_language")
@@ -87,7 +88,8 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str, profiles:
     foreign = (told_in != asked_in) & (F.array_max("__told") > 2 * own)
     if profiles is not None:
         profiled = [k for k, name in enumerate(LANGUAGES, 1) if name in profiles.languages]
-        foreign = F.col("__differs") | (foreign & ~told_in.isin(*profiled))
+        # where profiles leave it open, the words decide for all languages
+        foreign = (F.col("__compared") == DIFFERENT) | (foreign & ((F.col("__compared") == UNCLEAR) | ~told_in.isin(*profiled)))
     found = {
         "empty": (content == "") | hollow,
         "copies_prompt": (asked != "") & (content != "") & ((rest == "") | prefix),
@@ -99,16 +101,16 @@ def with_defects(rows: DataFrame, prompt: str, answer: str, out: str, profiles:
 
 
 def _with_profiles(rows: DataFrame, profiles: Profiles) -> DataFrame:
-    """``rows`` with ``__differs``: by the profiles the prose is of another language than the question."""
+    """``rows`` with ``__compared``: what the profiles say of the languages of prose and question."""
     question, prose = rows.columns.index("__question"), rows.columns.index("__prose")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = profiles.differ(batch.column(question).to_pylist(), batch.column(prose).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told)], [*batch.schema.names, "__differs"])
+            told = profiles.compare(batch.column(question).to_pylist(), batch.column(prose).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told.astype(np.int32))], [*batch.schema.names, "__compared"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, `__differs` boolean")
+    return rows.mapInArrow(run, f"{kinds}, `__compared` int")
 
 
 def only_defect(types: Column) -> Column:

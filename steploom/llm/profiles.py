@@ -20,6 +20,8 @@ LEAST_TEXTS = 20  # of a language, to have a profile
 LEAST_TRIGRAMS = 20  # of an answer; a bare name has no language
 MARGIN = 6.0  # log odds by which another language must lead
 
+SAME, DIFFERENT, UNCLEAR = 0, 1, 2
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?]")
 
 
@@ -69,8 +71,11 @@ class Profiles:
     @classmethod
     def fit(cls, df: DataFrame, text: str, language: str, sample: int = SAMPLE) -> Profiles:
         """From a bounded sample of the rows that have a language and 40 characters of text."""
-        rows = df.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null and length(t) >= 40")
-        return cls([tuple(r) for r in rows.orderBy(F.xxhash64("t"), "l").limit(sample).collect()])
+        rows = df.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null")
+        # about as many rows as are wanted pass the hash, so that no task sends more than its share
+        share = min(1.0, 1.2 * sample / max(1, rows.count()))
+        picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) <= int(share * (1 << 30))).where("length(t) >= 40")
+        return cls([tuple(r) for r in picked.orderBy(F.xxhash64("t"), "l").limit(sample).collect()])
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages log odds, trigrams of each text)."""
@@ -81,12 +86,20 @@ class Profiles:
             out[on] = np.add.reduceat(self.odds[grams], (np.cumsum(sizes) - sizes)[on], axis=0)
         return out, sizes
 
-    def differ(self, questions: list[str], answers: list[str]) -> np.ndarray:
-        """Whether each answer is prose of another language than its question."""
+    def compare(self, questions: list[str], answers: list[str]) -> np.ndarray:
+        """Per pair DIFFERENT, SAME or UNCLEAR: the languages of question and answer.
+
+        They differ if the answer's language leads the question's in the answer by MARGIN, and the
+        other way round in the question. A question that doesn't say its own language by as much, as
+        short ones may, and an answer of few trigrams leave it open.
+        """
         asked, n_asked = self.scores(questions)
         told, n_told = self.scores(answers)
         if len(self.languages) < 2:
-            return np.zeros(len(questions), bool)
+            return np.full(len(questions), UNCLEAR)
         own, best = asked.argmax(1), told.argmax(1)
         row = np.arange(len(own))
-        return (n_asked > 0) & (n_told >= LEAST_TRIGRAMS) & (own != best) & (told[row, best] - told[row, own] > MARGIN)
+        rival = np.sort(asked, axis=1)[:, -2]
+        known = (n_asked > 0) & (n_told >= LEAST_TRIGRAMS) & (asked[row, own] - rival > MARGIN)
+        other = (own != best) & (told[row, best] - told[row, own] > MARGIN)
+        return np.where(~known, UNCLEAR, np.where(other, DIFFERENT, SAME))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from steploom.llm.pairs import broken_sides
-from steploom.llm.profiles import LEAST_TRIGRAMS, Profiles, plain_words, trigrams
+from steploom.llm.profiles import DIFFERENT, LEAST_TRIGRAMS, UNCLEAR, Profiles, plain_words, trigrams
 
 WORDS = {
     "en": "the year when it was sold to that house and nobody knew which of them had left before".split(),
@@ -37,11 +37,11 @@ def test_languages_are_told_apart():
     for own in WORDS:
         for other in WORDS:
             questions, answers = zip(*((prose(rng, own, 9), prose(rng, other)) for _ in range(30)), strict=True)
-            share = p.differ(list(questions), list(answers)).mean()
+            share = (p.compare(list(questions), list(answers)) == DIFFERENT).mean()
             assert share >= 0.95 if own != other else share <= 0.05
-    assert not p.differ(["the year when it was sold"], ["Maison"])[0] and len("maison") < LEAST_TRIGRAMS
-    assert p.differ(["", "x"], ["", ""]).tolist() == [False, False]
-    assert Profiles([]).differ(["a"], ["b"]).tolist() == [False] and np.isfinite(p.odds).all()
+    assert p.compare(["the year when it was sold"], ["Maison"])[0] == UNCLEAR and len("maison") < LEAST_TRIGRAMS
+    assert p.compare(["", "x"], ["", ""]).tolist() == [UNCLEAR, UNCLEAR]
+    assert Profiles([]).compare(["a"], ["b"]).tolist() == [UNCLEAR] and np.isfinite(p.odds).all()
 
 
 def test_pairs_by_profiles(spark):
