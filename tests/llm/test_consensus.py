@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from steploom.llm import consensus
 from steploom.llm.consensus import Consensus
 from steploom.llm.q_consensus import verdict
 
@@ -75,7 +76,8 @@ def test_keys_may_be_called_like_inner_columns(spark):
 
 
 @pytest.mark.parametrize("told", [True, False])
-def test_confidence_counts_only_where_it_tells(spark, told):
+def test_confidence_counts_only_where_it_tells(spark, monkeypatch, told):
+    monkeypatch.setattr(consensus, "ROUNDS", 15)
     rng = random.Random(6)
     rows, truth = [], {}
     for k in range(2000):
