@@ -9,6 +9,7 @@ representatives that have a partner in both then get a fingerprint. It is joined
 TABLES permutations of its bits, of which one block must agree: up to 15 differing bits can't be
 missed, and of pairs at the radius four in five are met. Pairs within the Hamming radius are verified on
 their words: words may differ by a slip of typing, but not where both are words that the corpus knows.
+A word a hundred times rarer than the other isn't known: slips of a frequent word recur as tables grow.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ BITS, BLOCKS = 128, 16
 TABLES = 2  # permutations of the bits that blocks are taken from
 RADIUS = 40
 KNOWN = 3  # questions from which on a word counts as one of its own, no slip of another
+RARE = 0.01  # share of the questions with another word up to which a word counts as its slip all the same
 COMMON = 0.005  # share of the records from which on a word counts little
 COMMON_WEIGHT = 0.4
 EXPAND = 64
+CHUNK = 1024  # records of a class that are paired with as many others at once
 
 # Words whose presence changes nothing that is asked (articles, copulas, which/what,
 # and the frame that prompts put around a question).
@@ -41,7 +44,7 @@ FILLERS = frozenset(
     "the a an is was are were be both which what in please tell me kindly could can you answer briefly shortly question q retry again "
     "el la los las un una es fue era cuál cual qué que por favor pregunta responde brevemente "
     "le les une est était quel quelle s'il vous plaît svp réponds brièvement "
-    "der die das ein eine ist war welche welcher welches welchem bitte frage antworte kurz".replace("'", " ").split()
+    "der die das dem den des ein eine einen einem einer eines ist war welche welcher welches welchem bitte frage antworte kurz".replace("'", " ").split()
 )
 ARTICLES = frozenset("the a an el la los las un una le les une der die das ein eine".split())
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -128,11 +131,25 @@ def typed_alike(a: str, b: str) -> bool:
     return short >= 3 and edits(a, b, most) <= most
 
 
+def short_slip(typed: str, word: str) -> bool:
+    """Whether a swap, or a letter left out or typed twice, makes ``typed`` of the word where one has less than three letters.
+
+    Words that short say little: :class:`SplitOverlap` wants one of them to be RARE beside the other.
+    """
+    if typed == word or min(len(typed), len(word)) > 2 or any(map(str.isnumeric, typed + word)):
+        return False
+    if len(typed) == len(word):
+        return sorted(typed) == sorted(word) and edits(typed, word, 1) <= 1
+    if len(typed) < len(word):
+        return typed in {word[:k] + word[k + 1 :] for k in range(len(word))}
+    return typed in {word[:k] + word[k] + word[k:] for k in range(len(word))}
+
+
 def slips(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
     """The words that must be slips of each other if two questions are the same; None if they can't be.
 
     The same are questions of the same words in any order, up to typing, fillers and words run
-    together or apart.
+    together or apart. Beside a :func:`short_slip` of a filler stands the empty word.
     """
     x, y = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
     found = []
@@ -144,10 +161,22 @@ def slips(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
             found.append((word, match))
     if "".join(x) == "".join(y):
         return found
-    # the longest first: what is left of different questions is mostly a name, and no filler is as long
-    if all(any(typed_alike(w, f) for f in _FLAT_FILLERS if len(f) > 2) for w in sorted(x + y, key=len, reverse=True)):
+    for word in list(x):
+        match = next((other for other in y if short_slip(word, other) or short_slip(other, word)), None)
+        if match is not None:
+            x.remove(word)
+            y.remove(match)
+            found.append((word, match))
+    if "".join(x) == "".join(y):
         return found
-    return None
+    # the longest first: what is left of different questions is mostly a name, and no filler is as long
+    for w in sorted(x + y, key=len, reverse=True):
+        if any(typed_alike(w, f) for f in _FLAT_FILLERS if len(f) > 2):
+            continue
+        if not any(short_slip(w, f) for f in _FLAT_FILLERS):
+            return None
+        found.append((w, ""))
+    return found
 
 
 def same_question(a: list[str], b: list[str], known: frozenset[str] = frozenset()) -> bool:
@@ -283,7 +312,7 @@ class SplitOverlap:
         self.members = store(plain.distinct().withColumn("key", F.xxhash64("q", "a")).withColumn("seen", F.col("split") == train), "split-members")
         reps = self.members.groupBy("key").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.max("seen").alias("in_train"), F.min("seen").alias("only_train"))
         self.reps = store(reps.select("key", "q", "a", "in_train", (~F.col("only_train")).alias("in_other")), "split-reps")
-        total = self.reps.count()
+        self.total = total = self.reps.count()
         self.words = store(self.reps.select(F.explode(F.array_distinct(F.split("q", " "))).alias("w")).groupBy("w").count(), "overlap-words")
         # bounded: a text of n words can hold n / COMMON such words in the mean
         self.common = frozenset(r.w for r in self.words.where(F.col("count") > max(2.0, COMMON * total)).collect())
@@ -345,13 +374,17 @@ class SplitOverlap:
                 qa, aa, qb, ab = (batch.column(c).to_pylist() for c in ("qa", "aa", "qb", "ab"))
                 found = [slips(s.split(), t.split()) if same_answer(u, v) else None for s, u, t, v in zip(qa, aa, qb, ab, strict=True)]
                 on = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
-                words = pa.array([[{"x": p, "y": q} for p, q in f] for f in found if f is not None], pa.list_(pa.struct([("x", pa.string()), ("y", pa.string())])))
+                fields = pa.struct([("x", pa.string()), ("y", pa.string()), ("short", pa.bool_())])
+                words = pa.array([[{"x": p, "y": q, "short": not typed_alike(p, q)} for p, q in f] for f in found if f is not None], pa.list_(fields))
                 yield pa.RecordBatch.from_arrays([on.column("a"), on.column("b"), words], ["a", "b", "slips"])
 
-        checked = store(pairs.select("a", "b", "qa", "aa", "qb", "ab").mapInArrow(verify, "a long, b long, slips array<struct<x string, y string>>"), "overlap-checked")
-        known = self.words.where(F.col("count") >= KNOWN)
-        each = checked.select("a", "b", F.explode("slips").alias("s")).select("a", "b", "s.x", "s.y")
-        distinct_words = each.join(known.select(F.col("w").alias("x")), "x").join(known.select(F.col("w").alias("y")), "y").select("a", "b").distinct()
+        checked = store(pairs.select("a", "b", "qa", "aa", "qb", "ab").mapInArrow(verify, "a long, b long, slips array<struct<x string, y string, short boolean>>"), "overlap-checked")
+        each = checked.select("a", "b", F.explode("slips").alias("s")).select("a", "b", "s.x", "s.y", "s.short")
+        # fillers aren't counted; any question may have them
+        counts = self.words.union(self.spark.range(1).select(F.lit("").alias("w"), F.lit(self.total).cast("long").alias("count")))
+        each = each.join(counts.toDF("x", "nx"), "x").join(counts.toDF("y", "ny"), "y")
+        beside = F.least("nx", "ny") > RARE * F.greatest("nx", "ny")
+        distinct_words = each.where(beside & (F.col("short") | (F.least("nx", "ny") >= KNOWN))).select("a", "b").distinct()
         return checked.select("a", "b").join(distinct_words, ["a", "b"], "left_anti")
 
     def classes(self) -> DataFrame:
@@ -359,12 +392,12 @@ class SplitOverlap:
         both = self.reps.where("in_train and in_other").select(F.col("key").alias("a"), F.col("key").alias("b"))
         return self.near().union(both)
 
-    def pairs(self, first: str, second: str) -> DataFrame:
+    def pairs(self, first: str, second: str, whole: bool = False) -> DataFrame:
         """Pairs of a training and another record, the smaller id first.
 
         Where classes of copies are so large that their pairs exceed EXPAND squared, the smallest
         training record stands for its class towards each of the others, and the other way round;
-        :meth:`membership` has the rest.
+        :meth:`membership` has the rest. With ``whole`` every pair of these classes is given too.
         """
         found = store(self.classes(), "class-pairs")
         sides = self.members.groupBy("key", "seen").agg(F.count("*").alias("n"), F.min("record").alias("low"))
@@ -374,10 +407,29 @@ class SplitOverlap:
         mt = self.members.where("seen").select(F.col("key").alias("a"), F.col("record").alias("x"))
         mo = self.members.where("not seen").select(F.col("key").alias("b"), F.col("record").alias("y"))
         small = sized.where("not wide").select("a", "b").join(mt, "a").join(mo, "b").select("x", "y")
+        if whole:
+            return self._ordered(small.union(self._crossed(sized.where("wide"))), first, second)
         from_train = sized.where("wide").select("a", F.col("lb").alias("y")).join(mt, "a").select("x", "y")
         from_other = sized.where("wide").select("b", F.col("la").alias("x")).join(mo, "b").select("x", "y")
-        every = small.union(from_train).union(from_other).where("x <> y")
-        return every.select(F.least("x", "y").alias(first), F.greatest("x", "y").alias(second)).distinct()
+        return self._ordered(small.union(from_train).union(from_other), first, second)
+
+    @staticmethod
+    def _ordered(pairs: DataFrame, first: str, second: str) -> DataFrame:
+        return pairs.where("x <> y").select(F.least("x", "y").alias(first), F.greatest("x", "y").alias(second)).distinct()
+
+    def _crossed(self, wide: DataFrame) -> DataFrame:
+        """(x, y) of all records of these classes (a, na, b, nb), whose chunks are paired in tasks of their own."""
+
+        def chunks(seen: bool, key: str, n: str, record: str) -> DataFrame:
+            of = wide.select(key, n).distinct()
+            rows = self.members.where(F.col("seen") == seen).select(F.col("key").alias(key), "record").join(of, key)
+            part = F.pmod(F.xxhash64("record"), F.ceil(F.col(n) / CHUNK))
+            return rows.groupBy(key, part.alias(f"part_{key}")).agg(F.collect_set("record").alias(record))
+
+        blocks = wide.select("a", "b").join(chunks(True, "a", "na", "xs"), "a").join(chunks(False, "b", "nb", "ys"), "b")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = blocks.repartition(parts, "a", "b", "part_a", "part_b")
+        return dealt.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
 
     def membership(self) -> DataFrame:
         """(record, split, source, key) of every record that can make a case."""

@@ -13,7 +13,7 @@ def _overlap(spark: SparkSession, sf_dir: str) -> SplitOverlap:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap(spark, sf_dir).pairs("trajectory_id_a", "trajectory_id_b")
+    return _overlap(spark, sf_dir).pairs("trajectory_id_a", "trajectory_id_b", whole=True)
 
 
 def p3_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,28 @@ def test_slips_across_answer_lengths(spark):
     assert all(overlap.same_answer(*x) for x in answers)
     rows = [(f"{side}{k}", part, "s", f"Where did Tarpolin Rovers number {k} go?", a) for k, pair in enumerate(answers) for side, part, a in zip("tv", ("train", "test"), pair, strict=True)]
     assert found(spark, rows) == {(f"t{k}", f"v{k}") for k in range(len(answers))}
+
+
+def test_slips_of_frequent_words_cost_no_pair_as_tables_grow(spark):
+    """A slip that recurs is no word of its own beside one that is a hundred times as frequent."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    rows = [(f"n{k}", "train", "s", f"who moved to {name()} railway from {name()}", name()) for k in range(900)]
+    want = set()
+    for k in range(15):  # each slip five times
+        x, y, a = name(), name(), name()
+        q = [f"who moved to {x} raiwlay from {y}", f"who moved tto {x} railway from {y}", f"who moved to te {x} railway from {y}"][k % 3]
+        rows += [(f"t{k}", "train", "s", f"who moved to {x} railway from {y}", a), (f"v{k}", "test", "s", q, a)]
+        want.add((f"t{k}", f"v{k}"))
+    # words of one letter's difference that are about as frequent ask for different things
+    for k in range(4):
+        x, y, a = name(), name(), name()
+        rows += [(f"p{k}", "train", "s", f"which painter left {x} for {y}", a), (f"w{k}", "test", "s", f"which painted left {x} for {y}", a)]
+        rows += [(f"r{k}", "train", "s", f"which ox left {x} near {y}", a), (f"s{k}", "test", "s", f"which fox left {x} near {y}", a)]
+    assert found(spark, rows) == want
+
+
+def test_short_words():
+    assert all(overlap.short_slip(a, b) for a, b in (("to", "ot"), ("o", "to"), ("tto", "to"), ("he", "the"), ("si", "is")))
+    assert not any(overlap.short_slip(a, b) for a, b in (("he", "te"), ("to", "to"), ("to", "do"), ("5", "55"), ("car", "bar"), ("o", "the"), ("dan", "an")))
+    assert same_question(content_words("laut dem verzeichnis von orlo"), content_words("laut verzeichnis von orlo"))

@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from steploom.llm import q_spans, q_splitting, spans
+from steploom.llm import overlap, q_overlap, q_spans, q_splitting, spans
 
 
 def test_p6_found_has_every_pair_of_a_large_component(spark, tmp_path):
@@ -22,3 +22,13 @@ def test_p9_found_has_every_pair_of_a_crowd(spark, tmp_path, monkeypatch):
     rows = [(k, header + f"body {k} " * 5) for k in range(9)] + [(50, "x" + header[:101]), (51, "nothing in common with the others")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in q_spans.p9_found(spark, str(tmp_path)).collect()} == set(combinations([*range(9), 50], 2))
+
+
+def test_p3_found_has_every_pair_of_large_classes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(overlap, "CHUNK", 16)
+    rows = [(f"t{k}", "train", "s", "Where did Tarpolin go?", "Orlo") for k in range(90)] + [(f"v{k}", "test", "s", "Where did Tarpolin go", "orlo") for k in range(70)]
+    rows += [(f"u{k}", "validation", "s", "Where did Tarpoiln go?", "Orlo") for k in range(60)] + rows[:5]
+    spark.createDataFrame(rows, "trajectory_id string, split string, source string, question string, gold_answer string").write.parquet(f"{tmp_path}/trajectories.parquet")
+    got = [tuple(r) for r in q_overlap.p3_found(spark, str(tmp_path)).collect()]
+    want = {(f"t{k}", f"{side}{j}") for k in range(90) for side, n in (("v", 70), ("u", 60)) for j in range(n)}
+    assert len(got) == len(want) and set(got) == want
